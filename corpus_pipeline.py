@@ -1,10 +1,53 @@
-"""The corpus pipeline; its stages follow as their operators land."""
+"""The corpus pipeline: toxicity, near-duplicates, secrets, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's documents. All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hoplattice.llm import packing, secrets, simhash_dedup, toxicity
+from hoplattice.llm.common import read, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores below 0.7; learned from labels that are not held out."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates.
 
+    Shingles of five words, a similarity of 0.8 or more as 128-bit fingerprints tell it.
+    """
+    return simhash_dedup.one_of_each_group(docs, words=5, similarity=0.8)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; every secret that the rules or the network find is replaced by a mark."""
+    return secrets.without_secrets(docs, secrets.fit(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, length=2048, end_id=1)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]
+
+#: No stage but packing's arithmetic is within SQL; tests compare the stages with brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from hoplattice.llm.common import read
 
-    return read(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{name}")
+    return docs

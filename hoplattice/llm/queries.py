@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoplattice.llm import bpe, fingerprints, packing
+from hoplattice.llm import bpe, fingerprints, packing, secrets, simhash_dedup, toxicity
 from hoplattice.llm.common import read
 
 
@@ -22,10 +22,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), length=2048, end_id=1)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_simhash_dedup": op6_simhash_dedup,
+    "op10_secrets": op10_secrets,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

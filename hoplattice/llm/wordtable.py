@@ -93,6 +93,13 @@ _LETTER_OF = _byte_letters()
 _TRANSLATE = {c: "".join(_LETTER_OF[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
 
+def byte_letters(word: str) -> str:
+    """The word as byte-level vocabularies spell it."""
+    if word.isascii() and word.isprintable():
+        return word
+    return "".join(_LETTER_OF[b] for b in word.encode())
+
+
 _CACHE: dict[int, WordTable] = {}
 
 

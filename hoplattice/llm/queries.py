@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoplattice.llm import bpe, fingerprints, packing, secrets, simhash_dedup, token_counts, toxicity
+from hoplattice.llm import bpe, fingerprints, packing, secrets, simhash_dedup, token_counts, toxicity, url_filter
 from hoplattice.llm.common import read
 
 
@@ -22,6 +22,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), length=2048, end_id=1)
 
 
+#: The contract's rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -44,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op9_token_counts": op9_token_counts,

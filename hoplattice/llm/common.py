@@ -9,6 +9,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -73,3 +74,21 @@ def map_arrow(
 def held_out_column(id_column: str, modulus: int, remainder: int) -> str:
     """SQL: whether crc32 of the id as text leaves ``remainder``; a null id is held out."""
     return f"coalesce(pmod(crc32(cast(cast({id_column} as string) as binary)), {modulus}) = {remainder}, true)"
+
+
+def chunk_pairs(keyed: DataFrame, key: str, row_id: str, limit: int) -> DataFrame:
+    """Deal the rows of each key into work units; adds ``low``, ``high`` and ``first``.
+
+    A key of ``limit`` rows or fewer is one unit (0, 0). A larger one is cut into
+    chunks by a hash of ``row_id``, and each pair of chunks is a unit, which holds
+    the lower chunk's rows (``first``) and the higher chunk's. Every two rows of a
+    key meet in exactly one unit, and no unit is larger than two chunks.
+    """
+    hot = keyed.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
+    if hot.isEmpty():
+        return keyed.withColumns({"low": F.lit(0), "high": F.lit(0), "first": F.lit(True)})
+    cut = keyed.join(hot, key, "left").withColumn("_chunks", F.ceil(F.coalesce("_size", F.lit(1)) / limit).cast("int"))
+    cut = cut.withColumn("_own", F.pmod(F.xxhash64(row_id), F.col("_chunks")).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    unit = {"low": F.least("_own", "_other"), "high": F.greatest("_own", "_other"), "first": F.col("_own") <= F.col("_other")}
+    return cut.withColumns(unit).drop("_size", "_chunks", "_own", "_other")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoplattice.llm import bpe, fingerprints, packing, secrets, simhash_dedup, token_counts, toxicity, url_filter
+from hoplattice.llm import bpe, embedding_dedup, fingerprints, packing, secrets, simhash_dedup, token_counts, toxicity, url_filter
 from hoplattice.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }

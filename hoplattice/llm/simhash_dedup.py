@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoplattice.llm import votes
-from hoplattice.llm.common import map_arrow, shuffle_partitions, stored
+from hoplattice.llm.common import chunk_pairs, map_arrow, shuffle_partitions, stored
 from hoplattice.llm.components import components
 
 _ROWS = 64
@@ -183,13 +183,7 @@ def links(distinct: DataFrame, tables: list[np.ndarray], radius: int, shard_rows
                 yield {"shard": (t << 48) + bit[:, places] @ (1 << np.arange(len(places))), "node": node, "fp": fp}
 
     keyed = map_arrow(distinct.select("node", "fp"), "shard long, node long, fp binary", keys)
-    hot = keyed.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows)
-    paired = keyed.select("shard", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(True).alias("first"), "node", "fp")
-    if not hot.isEmpty():
-        cut = keyed.join(hot, "shard", "left").withColumn("chunks", F.ceil(F.coalesce("size", F.lit(1)) / shard_rows).cast("int"))
-        cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        paired = cut.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first"), "node", "fp")
+    paired = chunk_pairs(keyed, "shard", "node", shard_rows)
     parts = shuffle_partitions(distinct.sparkSession)
     dealt = paired.repartition(parts, "shard", "low", "high").sortWithinPartitions("shard", "low", "high", "node")
 

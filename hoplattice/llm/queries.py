@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoplattice.llm import bpe, embedding_dedup, fingerprints, packing, secrets, simhash_dedup, token_counts, toxicity, url_filter
+from hoplattice.llm import bpe, embedding_dedup, fingerprints, lm, packing, secrets, simhash_dedup, token_counts, toxicity, url_filter
 from hoplattice.llm.common import read
 
 
@@ -43,6 +43,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }

@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from hoplattice.plans import retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(retrieval.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL
+    return dict(retrieval.ORACLE_SQL)

@@ -95,7 +95,7 @@ def relevance_hop(candidates: DataFrame, similarity: DataFrame, alphas: DataFram
     both = candidates.select("qid", "unit_id", "score").join(similarity.select("qid", "unit_id", "sim"), ["qid", "unit_id"])
     scaled = min_max(min_max(both, ("qid",), "score", "a"), ("qid",), "sim", "b")
     mixed = scaled.crossJoin(F.broadcast(alphas)).withColumn(
-        "score", F.when(F.col("alpha") == 0, F.col("score")).otherwise(rounded((1 - F.col("alpha")) * F.col("a") + F.col("alpha") * F.col("b")))
+        "score", F.when(F.col("alpha") == 0, F.col("score")).otherwise(rounded((1 - F.col("alpha")) * F.col("a") + F.col("alpha") * F.col("b"), 9))
     )
     return top_k(mixed.select("alpha", "qid", "unit_id", "score"), k, ("alpha", "qid"))
 

@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates.
 
-    Shingles of five words, a similarity of 0.8 or more as 128-bit fingerprints tell it.
+    Shingles of five words, a similarity of 0.8 or more as 256-bit fingerprints tell it.
     """
     return simhash_dedup.one_of_each_group(docs, words=5, similarity=0.8)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplattice.operators import fusion, grids, metrics, paired, rank, rerank, vector
+from hoplattice.operators import fusion, graph, grids, metrics, paired, rank, rerank, seeds, vector
 from hoplattice.plans import fragments as sql
 from hoplattice.plans import inputs
 from hoplattice.sources.tables import table
@@ -303,3 +303,27 @@ def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
     p1 = first.where("rank = 1").select("qid", "unit_id").join(units, "unit_id").select("qid", "v")
     near = vector.dense_topk(p1, units, 111)
     return rank.top_k(near.join(first.where("rank <= 10").select("qid", "unit_id"), ["qid", "unit_id"], "left_anti").select("qid", "unit_id", "score"), 100)
+
+
+_QHOP = f"""WITH {sql.LISTS}, q_seeds AS (SELECT DISTINCT item_id AS qid, node_id, w FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{{3,}}')) AS node_id FROM benchmark) JOIN node_w USING (node_id)),
+qhop AS (SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) AS rank FROM (SELECT qid, unit_id, round(sum(w), 6) AS score FROM q_seeds JOIN incidence USING (node_id) GROUP BY qid, unit_id) WHERE (qid, unit_id) NOT IN (SELECT qid, unit_id FROM bm25 WHERE rank <= 10) QUALIFY rank <= 100)"""
+
+
+def _question_hop(spark: SparkSession, sf_dir: str, first: DataFrame) -> DataFrame:
+    incidence = inputs.entities(spark, sf_dir)
+    spans = inputs.questions(spark, sf_dir).select("qid", F.explode(F.regexp_extract_all("query", F.lit("([A-Z][a-z]{3,})"))).alias("form"))
+    nodes = incidence.select("node_id", F.col("node_id").alias("form")).distinct()
+    return graph.seeded_hop(seeds.from_question(spans, nodes, graph.weights(incidence)), incidence, first.where("rank <= 10"))
+
+
+@query("h13_question_hop", _QHOP + " SELECT qid, unit_id, score, rank FROM qhop")
+def h13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _question_hop(spark, sf_dir, inputs.bm25(spark, sf_dir)).select("qid", "unit_id", "score", "rank")
+
+
+@query("f6_quad_fusion", _QHOP + """, four AS (SELECT component, qid, unit_id, norm FROM scaled UNION ALL SELECT 'question', qid, unit_id, CASE WHEN max(score) OVER q > min(score) OVER q THEN (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) ELSE 0.0 END FROM qhop WINDOW q AS (PARTITION BY qid))
+SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) AS rank FROM (SELECT qid, unit_id, round(sum(norm * CASE component WHEN 'bm25' THEN 0.4 WHEN 'overlap' THEN 0.3 WHEN 'hop' THEN 0.2 ELSE 0.1 END), 6) AS score FROM four GROUP BY qid, unit_id) QUALIFY rank <= 100""")
+def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    question = _question_hop(spark, sf_dir, inputs.bm25(spark, sf_dir))
+    four = inputs.lists(spark, sf_dir).unionByName(fusion.components(question=question))
+    return fusion.weighted(four, {"bm25": 0.4, "overlap": 0.3, "hop": 0.2, "question": 0.1})

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from hoplattice.functions import stats, text
-from hoplattice.operators import concepts, corpus, fusion, graph, grids, metrics, pack, paired, rank, rerank, vector, walk
+from hoplattice.operators import concepts, corpus, fusion, graph, grids, metrics, pack, paired, rank, rerank, seeds, vector, verdicts, walk
 from hoplattice.sources import files
 from hoplattice.streaming import frequency
 
@@ -296,3 +296,35 @@ def test_stream_counts_pairs_once(spark, tmp_path):
     started = frequency.to_memory(frequency.running_frequency(stream), "df_now").start()
     started.awaitTermination(60)
     assert sorted(rows(spark.table("df_now"), "node_id", "df")) == [("a", 2), ("b", 1)]
+
+
+def test_seed_sets(spark):
+    located = spark.createDataFrame([("q", 0, "a"), ("q", 1, "b"), ("q", 1, "c"), ("q", 2, "d")], "qid string, sentence int, node_id string")
+    rel = spark.createDataFrame([("q", 0, 0.9), ("q", 1, 0.5), ("q", 2, 0.5)], "qid string, sentence int, rel double")
+    named = spark.createDataFrame([("q", "a")], "qid string, node_id string")
+    assert sorted(rows(seeds.from_sentences(located, rel, 1), "node_id")) == [("a",)]
+    assert sorted(rows(seeds.from_sentences(located, rel, 1, named), "node_id")) == [("b",), ("c",)]
+    assert len(rows(seeds.from_sentences(located, rel, None, named), "node_id")) == 3
+    windows = spark.createDataFrame([("q", "a", 0.2), ("q", "a", 0.8), ("q", "b", 0.8), ("q", "c", 0.1)], "qid string, node_id string, sim double")
+    w = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "node_id string, w double")
+    assert [r[0] for r in rows(seeds.from_windows(windows, w, 2).orderBy("place"), "node_id")] == ["b", "a"]
+    offsets = located.withColumn("offset", graph.F.lit(1))
+    assert rows(seeds.first_mentions(offsets), "node_id") == [("a",)]
+    assert rows(seeds.coverage(located, located), "wanted", "located", "share") == [(4, 4, 1.0)]
+
+
+def test_verdicts(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, 1.0)], "qid long, value double")
+    assert rows(verdicts.reproduction(a, a), "verdict", "unmatched") == [("reproduced", 0)]
+    assert rows(verdicts.reproduction(a, a.where("qid = 1")), "verdict", "unmatched") == [("differs", 1)]
+    r = spark.createDataFrame([("h", 1), ("h", 2)], "corpus string, seed int")
+    assert rows(verdicts.comparable(r, "corpus"), "comparable") == [(True,)] and rows(verdicts.comparable(r, "corpus", "seed"), "comparable") == [(False,)]
+    t = spark.createDataFrame([(0.5,), (0.9,), (1.2,)], "mean_s double")
+    assert sorted(rows(verdicts.latency(t), "verdict")) == [("columnwise",), ("rowwise",), ("stop",)]
+
+
+def test_concept_diagnostics(spark):
+    x = spark.createDataFrame([(1, 0, 1.0), (1, 2, 0.5), (2, 0, 2.0)], "unit_id long, node_id int, w double")
+    units = spark.createDataFrame([(k, [1.0, 0.0]) for k in (1, 2, 3)], "unit_id long, v array<double>")
+    assert rows(concepts.diagnostics(x, units, 4), "dead_atoms", "orphan_units", "active_max", "units_max") == [(2, 1, 2, 2)]
+    assert concepts.null_coherence(units, size=3, draws=1) == (1.0, 0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.operators.rank import rounded, top_k
-from hoplattice.sources.tables import small
+from hoplattice.sources.tables import small, stored
 
 # The ranking's constants and its English stop words.
 K1, B = 1.5, 0.75
@@ -33,7 +33,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 100, id_column: str = "do
     asked = queries.select("qid", F.explode(terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     size = F.size(terms(F.col(text_column)))
     total = docs.select(size.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    found = postings(docs, asked.select("term").distinct(), id_column, text_column)
+    # one pass over the documents makes the postings that both the frequencies and the scores read
+    found = stored(postings(docs, asked.select("term").distinct(), id_column, text_column), "postings")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rates = asked.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("rate"))
@@ -46,7 +47,7 @@ def overlap(queries: DataFrame, docs: DataFrame, k: int = 100, id_column: str =
     """Top ``k`` by the rarity of shared distinct terms, ``sum log1p(N / (1 + df))``."""
     asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     n = docs.count()
-    found = postings(docs, asked.select("term").distinct(), id_column, text_column)
+    found = stored(postings(docs, asked.select("term").distinct(), id_column, text_column), "postings")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = asked.join(df, "term").select("qid", "term", F.log1p(F.lit(n) / (1 + F.col("df"))).cast("float").cast("double").alias("w"))
     scored = found.join(small(weight), "term").groupBy("qid", "unit_id").agg(rounded(F.sum("w")).alias("score"))

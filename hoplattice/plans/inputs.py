@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hoplattice.operators import fusion, graph, lexical, metrics, pack, vector
 from hoplattice.operators.rank import top_k
-from hoplattice.sources.tables import small, table
+from hoplattice.sources.tables import small, stored, table
 
 COMPONENTS = ["bm25", "overlap", "hop"]
 WEIGHTS = {"bm25": 0.5, "overlap": 0.3, "hop": 0.2}
@@ -26,7 +26,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(questions(spark, sf_dir), table(spark, sf_dir, "documents"))
+    """Stored, as hops, pools and contexts read the same list."""
+    return stored(lexical.bm25(questions(spark, sf_dir), table(spark, sf_dir, "documents")), "bm25")
 
 
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +44,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_hop(spark: SparkSession, sf_dir: str, first: DataFrame) -> DataFrame:
     """Documents that share capitalised words with the list's first unit, those among its first ten left out."""
     p1, read = first.where("rank = 1").select("qid", "unit_id"), first.where("rank <= 10")
-    return graph.node_hop(p1, entities(spark, sf_dir), read)
+    return graph.node_hop(p1, stored(entities(spark, sf_dir), "entities"), read)
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25, overlap and entity hop of every question."""
     first = bm25(spark, sf_dir)
-    return fusion.components(bm25=first, overlap=overlap(spark, sf_dir), hop=entity_hop(spark, sf_dir, first))
+    return stored(fusion.components(bm25=first, overlap=overlap(spark, sf_dir), hop=entity_hop(spark, sf_dir, first)), "lists")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,7 @@ def budgets(spark: SparkSession) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    hits = stored(hits, "hits")
     units = hits.select("unit_id").distinct()
     return pack.fill_contexts(hits, tokens(spark, sf_dir).join(small(units), "unit_id", "left_semi"), budgets(spark))
 

@@ -1,7 +1,10 @@
-"""Tables of a data folder, with fixed schemas where files carry none."""
+"""Tables of a data folder, tables stored on the way, and broadcasts behind a check of size."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has ``limit`` rows or fewer; as it is otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the folder that the cluster shares (``spark.checkpoint.dir``) and read it back.
+
+    For what several later steps read: it is made once, plans stay short, and it
+    survives lost executors. Where no folder is set, one is made for the session.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/hoplattice/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

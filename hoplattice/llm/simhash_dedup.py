@@ -15,6 +15,12 @@ blocks, so the pairs of blocks find every link. For a similarity of shingle sets
 similarity with the stated recall; the bits of a table grow with the logarithm of
 the number of fingerprints, so shards stay small at every size.
 
+For a similarity, fingerprints only choose candidates: a pair links if the exact
+Jaccard similarity of its distinct shingles reaches it. All pairs of a group of near
+copies are too many to compare, so candidates come in two rounds: a spanning forest
+of each shard, nearest first; then every pair whose ends the links found so far
+don't connect. No candidate that could join two groups stays unchecked.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; rows with a null id take no part in groups and have a null component;
 repeated rows are in one group; an empty table gives no rows; other columns are
@@ -37,7 +43,12 @@ from hoplattice.llm import votes
 from hoplattice.llm.common import chunk_pairs, map_arrow, shuffle_partitions, stored
 from hoplattice.llm.components import components
 
+#: Standard deviations of the differing bits, beyond what a similarity lets expect, within which a pair is a candidate.
+DEVIATIONS = 2.0
 _ROWS = 64
+_FLUSH = 100_000
+_HELD = 4_000_000  # words of 8 bytes that a worker remembers of texts and their shingles
+_EPSILON = 1e-9  # similarities are quotients of whole numbers
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
@@ -54,6 +65,11 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts[: -words + 1 or None].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """Further 64 bits of each hash; the hash itself for ``k`` = 0."""
     if k == 0:
@@ -63,11 +79,12 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, break_ties: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, break_ties: bool = False, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
     """``(doc_id, fp)``, ``fp`` as ``bits / 8`` bytes, highest first: a bit is 1 if set in over half the shingles' hashes.
 
     With ``break_ties`` the smallest hash counts half more, so that texts of few
-    shingles don't all lean to zero.
+    shingles don't all lean to zero. With ``distinct`` each shingle counts once, and
+    ``set_key`` and ``size`` tell the set of shingles and their number.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
@@ -75,7 +92,8 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, break_ties: bo
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for k in range(0, len(texts), _ROWS):
-                hashes = [shingle_hashes(t, words) for t in texts[k : k + _ROWS]]
+                hashes = [shingle_set(t, words) if distinct else shingle_hashes(t, words) for t in texts[k : k + _ROWS]]
+                sets = {"set_key": [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], "size": [len(h) for h in hashes]} if distinct else {}
                 count = np.array([len(h) for h in hashes], np.float64)
                 group = np.repeat(np.arange(len(hashes)), count.astype(np.int64))
                 flat = np.concatenate([np.array(h, np.uint64) for h in hashes])
@@ -88,9 +106,9 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, break_ties: bo
                     count = count + 0.5 * (count > 0)
                 words64 = [votes.majority(votes.ones(group, _mixed(flat, j), len(hashes), weight), count) for j in range(bits // 64)]
                 packed = np.stack(words64, axis=1).astype(">u8")
-                yield {"doc_id": batch.column("doc_id").slice(k, _ROWS), "fp": [r.tobytes() for r in packed]}
+                yield {"doc_id": batch.column("doc_id").slice(k, _ROWS), "fp": [r.tobytes() for r in packed]} | sets
 
-    return map_arrow(source, "doc_id long, fp binary", rows)
+    return map_arrow(source, "doc_id long, fp binary" + (", set_key binary, size long" if distinct else ""), rows)
 
 
 def block_tables(bits: int, radius: int) -> list[np.ndarray]:
@@ -170,53 +188,175 @@ def _shard_links(left: list[tuple[int, int]], right: list[tuple[int, int]] | Non
     return [(v, t) for v in root if (t := top(v)) != v]
 
 
-def links(distinct: DataFrame, tables: list[np.ndarray], radius: int, shard_rows: int = 2000) -> DataFrame:
-    """Edges ``(a, b)`` of nodes that connect the distinct ``(node, fp)`` within the radius."""
+def _dealt(distinct: DataFrame, tables: list[np.ndarray], shard_rows: int) -> DataFrame:
+    """The rows of ``distinct``, once for each table, in the order of their work units ``(shard, low, high)``."""
 
     def keys(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, fp = np.array(batch.column("node")), batch.column("fp").to_pylist()
+            fp = batch.column("fp").to_pylist()
+            own = {name: batch.column(name) for name in batch.schema.names}
             bit = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1, bitorder="big").astype(np.int64)
             for t, places in enumerate(tables):
-                yield {"shard": (t << 48) + bit[:, places] @ (1 << np.arange(len(places))), "node": node, "fp": fp}
+                yield own | {"shard": (t << 48) + bit[:, places] @ (1 << np.arange(len(places)))}
 
-    keyed = map_arrow(distinct.select("node", "fp"), "shard long, node long, fp binary", keys)
-    paired = chunk_pairs(keyed, "shard", "node", shard_rows)
+    kinds = ", ".join(f"{name} {kind}" for name, kind in distinct.dtypes)
+    paired = chunk_pairs(map_arrow(distinct, f"shard long, {kinds}", keys), "shard", "node", shard_rows)
     parts = shuffle_partitions(distinct.sparkSession)
-    dealt = paired.repartition(parts, "shard", "low", "high").sortWithinPartitions("shard", "low", "high", "node")
+    return paired.repartition(parts, "shard", "low", "high").sortWithinPartitions("shard", "low", "high", "node")
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list[tuple], list[tuple] | None]]:
+    """``(left, right)`` rows of each work unit of two rows or more; ``right`` is None in a unit of one chunk."""
+    unit, left, right = None, [], []
+
+    def whole():
+        if unit and len(left) + len(right) > 1:
+            yield left, None if unit[1] == unit[2] else right
+
+    for batch in batches:
+        units = (batch.column(c).to_pylist() for c in ("shard", "low", "high", "first"))
+        rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+        for key, low, high, first, row in zip(*units, rows, strict=True):
+            if (key, low, high) != unit:
+                yield from whole()
+                unit, left, right = (key, low, high), [], []
+            (left if first else right).append(row)
+    yield from whole()
+
+
+def links(distinct: DataFrame, tables: list[np.ndarray], radius: int, shard_rows: int = 2000) -> DataFrame:
+    """Edges ``(a, b)`` of nodes that connect the distinct ``(node, fp)`` within the radius."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for sides in _by_unit(batches, ("node", "fp")):
+            left, right = ([(node, int.from_bytes(fp)) for node, fp in side] if side is not None else None for side in sides)
+            if found := _shard_links(left, right, radius):
+                yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+    return map_arrow(_dealt(distinct.select("node", "fp"), tables, shard_rows), "a long, b long", rows).distinct()
+
+
+def _shard_candidates(left: list[tuple], right: list[tuple] | None, radius: int, similarity: float, spanning: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes within the radius whose sizes allow the similarity and whose labels differ; ``spanning`` leaves a forest of them.
+
+    Rows are ``(node, fp, size, label)``.
+    """
+    tree, root, members = BKTree(), {}, {}
+
+    def top(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    def matches(row: tuple) -> Iterator[tuple[int, int]]:
+        node, fp, size, label = row
+        value = int.from_bytes(fp)
+        for near in sorted(tree.within(value, radius), key=lambda v: ((v ^ value).bit_count(), v)):
+            for other, other_size, other_label in members[near]:
+                if other == node or other_label == label or min(size, other_size) < similarity * max(size, other_size) - _EPSILON:
+                    continue
+                if spanning:
+                    a, b = top(node), top(other)
+                    if a == b:
+                        continue
+                    root[max(a, b)] = min(a, b)
+                yield min(node, other), max(node, other)
+
+    def add(row: tuple) -> None:
+        node, fp, size, label = row
+        value = int.from_bytes(fp)
+        if value not in members:
+            members[value] = []
+            tree.add(value)
+        members[value].append((node, size, label))
+
+    for row in left:
+        if right is None:
+            yield from matches(row)
+        add(row)
+    for row in right or ():
+        yield from matches(row)
+
+
+def candidates(distinct: DataFrame, tables: list[np.ndarray], radius: int, similarity: float, spanning: bool, shard_rows: int = 2000) -> DataFrame:
+    """Distinct pairs ``(a, b)``, ``a < b``, of the nodes of ``(node, fp, size, label)`` that may have the similarity and differ in label."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        shard, left, right = None, [], []
         found: list[tuple[int, int]] = []
+        for left, right in _by_unit(batches, ("node", "fp", "size", "label")):
+            for pair in _shard_candidates(left, right, radius, similarity, spanning):
+                found.append(pair)
+                if len(found) >= _FLUSH:
+                    yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+                    found = []
+        yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+    return map_arrow(_dealt(distinct.select("node", "fp", "size", "label"), tables, shard_rows), "a long, b long", rows).distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` ``(a, b)`` whose texts ``(node, text)`` have that Jaccard similarity of distinct shingles, or more."""
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        known: dict[str, np.ndarray] = {}  # many pairs of a group of near copies share their texts
+        held = 0
+
+        def shingles(text: str) -> np.ndarray:
+            nonlocal held
+            if text not in known:
+                if held > _HELD:
+                    known.clear()
+                    held = 0
+                known[text] = shingle_set(text, words)
+                held += len(known[text]) + len(text) // 8
+            return known[text]
+
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("shard", "low", "high", "first", "node", "fp"))
-            for key, low, high, first, node, fp in zip(*columns, strict=True):
-                if (key, low, high) != shard:
-                    if shard and len(left) + len(right) > 1:
-                        found += _shard_links(left, None if shard[1] == shard[2] else right, radius)
-                    shard, left, right = (key, low, high), [], []
-                (left if first else right).append((node, int.from_bytes(fp)))
-            if found:
-                yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
-                found = []
-        if shard and len(left) + len(right) > 1:
-            found = _shard_links(left, None if shard[1] == shard[2] else right, radius)
-            yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+            out: dict[str, list[int]] = {"a": [], "b": []}
+            for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+                left, right = shingles(text_a), shingles(text_b)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                if common >= similarity * (len(left) + len(right) - common) - _EPSILON:
+                    out["a"].append(a)
+                    out["b"].append(b)
+            yield out
 
-    return map_arrow(dealt, "a long, b long", rows).distinct()
+    return map_arrow(both.select("a", "b", "text_a", "text_b"), "a long, b long", rows).distinct()
 
 
-def _components_of(marked: DataFrame, tables, radius: int) -> DataFrame:
-    """``(fp, component_id)`` of the distinct fingerprints of rows with an id; ``tables`` is a list or a function of their number."""
+def _components_of(marked: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
+    """``(fp, component_id)`` of the distinct fingerprints of rows with an id."""
     distinct = stored(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    if callable(tables):
-        tables = tables(distinct.count())
     groups = components(links(distinct, tables, radius))
     return distinct.join(groups, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
 
 
+def _similar_components(marked: DataFrame, docs: DataFrame, words: int, similarity: float, bits: int, shard_rows: int) -> DataFrame:
+    """``(component_id)`` of each distinct shingle set of ``marked``; ``docs`` are its ``(node, text)``."""
+    share = differing_share(similarity)
+    radius = round(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+    kinds = marked.where("doc_id is not null").groupBy("set_key", "fp", "size").agg(F.min("doc_id").alias("node"))
+    distinct = stored(kinds.select("node", "fp", "size", F.col("node").alias("label")), "simhash-distinct")
+    tables = sampled_tables(bits, similarity, distinct.count())
+    first = stored(candidates(distinct, tables, radius, similarity, True, shard_rows), "simhash-candidates")
+    met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    texts = stored(docs.join(met, "node").select("node", "text"), "simhash-texts")
+    found = stored(similar(first, texts, words, similarity), "simhash-links")
+    groups = components(found)
+    # a node without any candidate in the first round has none in the second
+    apart = distinct.drop("label").join(met, "node").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    rest = candidates(stored(apart.drop("root"), "simhash-apart"), tables, radius, similarity, False, shard_rows).join(first, ["a", "b"], "left_anti")
+    more = stored(similar(stored(rest, "simhash-candidates"), texts, words, similarity), "simhash-links")
+    if not more.isEmpty():
+        groups = components(found.union(more))
+    return distinct.join(groups, "node", "left").select(F.coalesce("root", "node").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: the smallest id reachable through links of 64-bit fingerprints."""
     marked = stored(fingerprints(docs, words, 64, False, id_column, text_column), "simhash")
@@ -228,19 +368,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column:
     )
 
 
-def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each_group(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 2000
+) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of texts of that similarity or more.
 
-    Two texts link if their fingerprints differ in no more bits than the
-    similarity lets expect, and 1.2 standard deviations, so that most pairs at just
-    the similarity link; the estimate errs by about 0.05 either way. Of rows with one id the
-    first by text stays; rows without an id all stay.
+    Two texts link if the Jaccard similarity of their distinct shingles is
+    ``similarity`` or more; texts without shingles are alike. Candidates differ in no
+    more fingerprint bits than the similarity lets expect, and ``DEVIATIONS`` standard
+    deviations. Of rows with one id the first by text stays; rows without an id all stay.
     """
-    share = differing_share(similarity)
-    radius = round(bits * share + 1.2 * math.sqrt(bits * share * (1 - share)))
-    marked = stored(fingerprints(docs, words, bits, True, id_column, text_column), "simhash")
-    component = _components_of(marked, lambda rows: sampled_tables(bits, similarity, rows), radius)
-    kept = component.select(F.col("component_id").alias("_kept_id")).distinct()
+    marked = stored(fingerprints(docs, words, bits, True, id_column, text_column, distinct=True), "simhash")
+    texts = docs.select(F.col(id_column).cast("long").alias("node"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    kept = _similar_components(marked, texts, words, similarity, bits, shard_rows).select(F.col("component_id").alias("_kept_id")).distinct()
     joined = docs.join(kept, F.col(id_column) == F.col("_kept_id"))
     first = F.row_number().over(Window.partitionBy("_kept_id").orderBy(text_column))
     once = joined.withColumn("_row", first).where("_row = 1").select(*docs.columns)

@@ -212,6 +212,27 @@ def test_dedup_stage_catches_copies_and_keeps_the_rest(spark):
     assert kept.columns == table.columns and set(range(0, 180, 3)) <= set(ids) and len(ids) <= 62
 
 
+def test_dedup_stage_links_by_exact_similarity(spark):
+    rng = np.random.default_rng(15)
+    texts = []
+    for k in range(40):
+        text = prose(300, rng).split()
+        texts.append(" ".join(text))
+        for n in (1, 4, 6, 7, 8, 9, 11):  # changed words, about 0.97 to 0.69 alike
+            changed = list(text)
+            for at in np.arange(5, 300, 26)[:n]:
+                changed[at] = f"changed{k}x{n}x{at}"
+            texts.append(" ".join(changed))
+    texts += [texts[0] + " " + texts[0], "a b", "A  b", "", None]
+    shingles = [{" ".join(words(t)[j : j + 5]) for j in range(max(1, len(words(t)) - 4))} for t in texts]
+    root = roots(dict(enumerate(shingles)), lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(set(root.values()))
+    assert len(want) > 80
+    for shard_rows in (2000, 3):
+        assert sorted(r["doc_id"] for r in simhash_dedup.one_of_each_group(table, shard_rows=shard_rows).collect()) == want
+
+
 def test_op7_equals_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(30, 16))

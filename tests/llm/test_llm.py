@@ -339,6 +339,28 @@ def test_op10_network_learns_the_look_of_keys():
     assert (p[np.array(label) > 0] >= net.threshold).mean() > 0.9 and (p[np.array(label) == 0] >= net.threshold).mean() < 0.02
 
 
+def test_op10_threshold_keeps_the_recall_on_hard_candidates():
+    rng = np.random.default_rng(11)
+    cores = ["".join(rng.choice(list("0123456789abcdef"), 16)) for _ in range(1500)]
+    x = np.frombuffer(b"".join(secrets.windows(c, 0, 16)[0] for c in cores), np.uint8).reshape(len(cores), -1).astype(np.int64)
+    label = (rng.random(len(cores)) < 0.1).astype(float)  # nothing to learn but the share
+    net = secrets.train(x, label, epochs=2)
+    calibration = secrets._parts(label)[1]
+    assert (net.probability(x[calibration][label[calibration] > 0]) >= net.threshold).mean() >= secrets.RECALL
+
+
+def test_op10_rare_findings_are_learned_from(spark):
+    rng = np.random.default_rng(12)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    texts = [f"{prose(4, rng)} order-{rng.integers(10**9)}-{rng.integers(10**9)} {prose(4, rng)}" for _ in range(400)]
+    for found in (1, 2, 3):
+        rows = [*texts, *(f"{prose(4, rng)} token = {key()} {prose(4, rng)}" for _ in range(found))]
+        net = secrets.fit(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), sample_windows=60)
+        assert 0 < net.threshold <= 1
+        parts = secrets._parts(np.array([0.0] * 60 + [1.0] * found))
+        assert all((p >= 60).any() for p in parts)
+
+
 def test_pipeline_stages_follow_their_contract(spark):
     import corpus_pipeline
 

@@ -151,14 +151,17 @@ class Model:
         return float(loss) / len(target), h, g
 
 
-def train(model: Model, texts: list[np.ndarray], passes: int = 1, streams: int = 128, window: int = 16, rate: float = 0.01, seed: int = 0) -> Model:
-    """Adam over the texts laid end to end in parallel streams; the state is carried from window to window."""
+def train(model: Model, texts: list[np.ndarray], passes: int = 1, streams: int = 128, window: int = 16, rate: float = 0.01, seed: int = 0, steps: int = 256) -> Model:
+    """Adam over the texts laid end to end in parallel streams; the state is carried from window to window.
+
+    Few tokens are laid in fewer streams, so that a pass takes about ``steps`` steps.
+    """
     rng = np.random.default_rng(seed)
     model = model.with_flat(model.flat())
     first = {k: np.zeros_like(v) for k, v in model.values.items()}
     second = {k: np.zeros_like(v) for k, v in model.values.items()}
     total, step = sum(len(t) + 1 for t in texts), 0
-    lanes = max(1, min(streams, total // (2 * window)))
+    lanes = max(1, min(streams, total // (steps * window)))
     planned = max(1, passes * (total // lanes // window))
     for _ in range(passes):
         laid = np.concatenate([part for k in rng.permutation(len(texts)) for part in ([model.end], texts[k])] + [[model.end]]).astype(np.int64)

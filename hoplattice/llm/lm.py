@@ -7,10 +7,9 @@ smoothed share of the tail's counts, so the model covers every word. Rare words'
 counts are joined to the documents that hold them; only ``HOT_WORDS`` frequent
 words and the model, both of bounded size, are broadcast.
 
-The model is fitted on the share ``fit_share`` of the training documents (by hash of
-the id, all of them while they are few), dealt to as many replicas as they fill;
-each round every replica trains on its own part and the replicas are averaged by
-their tokens. What counting gathers and what training reads grow with the corpus.
+The model is fitted on all training documents, once each at every size: they are
+dealt to as many replicas as they fill, and to rounds; each round every replica
+trains on its own part and the replicas are averaged by their tokens. What counting gathers and what training reads grow with the corpus.
 Scoring feeds each whole text, the state carried from window to window.
 
 Defined cases: a null or empty text is the end token alone; a null id is held out;
@@ -40,7 +39,7 @@ from hoplattice.llm.common import held_out_column, map_arrow, stored
 HOT_WORDS = 131_072
 SHORTLIST = 1_960
 TAILS = 64
-#: Training tokens of one replica, and the least that is fitted on while there are as many.
+#: Training tokens of one replica.
 REPLICA_TOKENS = 3_000_000
 _END = b""  # no word is empty
 _FLUSH = 300_000
@@ -136,18 +135,14 @@ class _Encoder(dict):
         return self._tails[zlib.crc32(word[-2:]) % TAILS]
 
 
-def fit(training: DataFrame, stats: Statistics, fit_share: float = 0.125, rounds: int = 3, hidden: int = 32) -> gru.Model:
-    """Average of replicas, trained side by side in ``rounds`` rounds on ``fit_share`` of the training documents."""
+def fit(training: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 32) -> gru.Model:
+    """Average of replicas, trained side by side in ``rounds`` rounds that share out all training documents."""
     model = gru.Model.fresh(stats.unit_counts, stats.end, hidden)
     if not stats.tokens:
         return model
-    share = min(1.0, max(fit_share, REPLICA_TOKENS / stats.tokens))
-    replicas = max(1, round(share * stats.tokens / REPLICA_TOKENS))
-    passes = max(1, min(6, round(REPLICA_TOKENS / (share * stats.tokens / replicas))))
+    replicas = max(1, round(stats.tokens / REPLICA_TOKENS))
     spark = training.sparkSession
     unit_table = spark.sparkContext.broadcast(stats)
-    draw = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
-    chosen = training.where(draw < int(share * 1_000_000))
 
     def encoded(batches: Iterator[pa.RecordBatch]):
         units = _Encoder(unit_table.value)
@@ -155,11 +150,11 @@ def fit(training: DataFrame, stats: Statistics, fit_share: float = 0.125, rounds
             found = [np.array([units[w] for w in _words(t)], "<u2").tobytes() for t in batch.column("text").to_pylist()]
             yield {"id": batch.column("id"), "units": found}
 
-    texts = map_arrow(chosen.select("id", "text"), f"id {dict(training.dtypes)['id']}, units binary", encoded)
+    texts = map_arrow(training.select("id", "text"), f"id {dict(training.dtypes)['id']}, units binary", encoded)
     texts = stored(texts.withColumn("round", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(rounds)).cast("int")), "lm-fit")
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        part = texts.where(F.col("round") == k) if passes == 1 else texts
+        part = texts.where(F.col("round") == k)
         # replicas are keys, so their number doesn't depend on how partitions are set
         dealt = part.withColumn("replica", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(replicas)).cast("int"))
         dealt = dealt.repartition(replicas, "replica").sortWithinPartitions("replica", "id", "units").select("replica", "units")
@@ -169,7 +164,7 @@ def fit(training: DataFrame, stats: Statistics, fit_share: float = 0.125, rounds
             replica, rows = None, []
 
             def done():
-                flat = gru.train(shared.value, rows, passes=max(1, passes // rounds), rate=pace, seed=k).flat()
+                flat = gru.train(shared.value, rows, rate=pace, seed=k).flat()
                 return {"group": [replica // 32], "tokens": [sum(len(r) + 1 for r in rows)], "flat": [flat.astype("<f4").tobytes()]}
 
             for batch in batches:
@@ -197,13 +192,13 @@ def fit(training: DataFrame, stats: Statistics, fit_share: float = 0.125, rounds
     return model
 
 
-def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), fit_share: float = 0.125, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
     source = _source(docs, held_out, id_column, text_column)
     training = source.where("not held_out")
     counts = stored(word_counts(training), "lm-counts")
     stats = statistics(counts)
-    model = fit(training, stats, fit_share)
+    model = fit(training, stats)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((stats, pickle.dumps(model)))
 

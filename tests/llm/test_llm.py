@@ -273,6 +273,17 @@ def test_op8_counts_and_gain(spark):
     assert got[None]["held_out"] and lm.score(docs.limit(0)).count() == 0
 
 
+def test_op8_every_training_document_is_fitted_on_at_every_size(spark, monkeypatch):
+    # small replicas stand for a large corpus: 300 documents fill about 30 of them
+    monkeypatch.setattr(lm, "REPLICA_TOKENS", 300)
+    taken = []
+    monkeypatch.setattr(lm, "stored", lambda df, label: taken.append((label, df)) or df)
+    training = spark.createDataFrame([(k, prose(30)) for k in range(300)] + [(7, "again"), (301, None)], "id long, text string").fillna("")
+    lm.fit(training, lm.statistics(lm.word_counts(training)), hidden=4)
+    ids = [r["id"] for label, df in taken if label == "lm-fit" for r in df.select("id").collect()]
+    assert sorted(ids) == sorted([*range(300), 7, 301])
+
+
 def test_gru_gradients_and_windows():
     m = gru.Model.fresh(np.array([50.0, 40, 30, 20, 10, 5, 4, 3, 2]), 2, hidden=5)
     m.values = {k: v.astype(float) for k, v in m.values.items()}

@@ -40,9 +40,11 @@ HOT_WORDS = 131_072
 SHORTLIST = 1_960
 TAILS = 64
 #: Training tokens of one replica.
-REPLICA_TOKENS = 3_000_000
+REPLICA_TOKENS = 6_000_000
 _END = b""  # no word is empty
-_FLUSH = 300_000
+_FLUSH = 600_000  # distinct words that a counting task holds
+_ROWS = 64
+_SCORED = 3_000_000  # tokens that are scored side by side
 
 
 def _words(text: str) -> list[bytes]:
@@ -124,41 +126,84 @@ def statistics(counts: DataFrame, hot_words: int = HOT_WORDS, shortlist: int = S
     return Statistics(tokens, distinct, hot_counts, unit_of, tail_unit, np.array([u[0] for u in units], float), np.log10(n + v + 1))
 
 
-class _Encoder(dict):
-    """Word to its unit; words beyond the shortlist are not remembered."""
-
-    def __init__(self, s: Statistics) -> None:
-        super().__init__(s.unit_of)
-        self._tails = s.tail_unit
+class _Places(dict):
+    """Hot word to its row in the statistics' order, or -1."""
 
     def __missing__(self, word: bytes) -> int:
-        return self._tails[zlib.crc32(word[-2:]) % TAILS]
+        return -1
+
+
+def encode(source: DataFrame, stats: Statistics) -> DataFrame:
+    """The rows of ``source`` (with ``text``) as units, in one pass; ``row`` numbers them.
 
+    ``units`` holds 16-bit units, ``hot_known`` and ``hot_log`` the hot words' part of
+    the base (their number and sum of logarithms), ``beyond`` what the words add to
+    their units' probability, and ``rare`` the words that are not hot, whose counts
+    are still to be joined.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(stats)
 
-def fit(training: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 32) -> gru.Model:
-    """Average of replicas, trained side by side in ``rounds`` rounds that share out all training documents."""
+    def rows(batches: Iterator[pa.RecordBatch]):
+        s = shared.value
+        # one row per hot word, and a last one for all others: logarithm of its count, unit, and what it adds beyond its unit
+        place = _Places((w, k) for k, w in enumerate(s.hot))
+        log_count = np.append(np.log10(np.array(list(s.hot.values()), float) + 1), 0.0)
+        tail = np.array([zlib.crc32(w[-2:]) % TAILS for w in s.hot], np.int64)
+        short = np.array([w in s.unit_of for w in s.hot], bool)
+        unit = np.array([s.unit_of.get(w, s.tail_unit[t]) for w, t in zip(s.hot, tail, strict=True)] + [0], np.uint16)
+        beyond = np.append(np.where(short, 0.0, log_count[:-1] - s.tail_base[tail]), 0.0)
+        tail_unit = np.array(s.tail_unit, np.uint16)
+        end_known, end_log = int(s.hot[_END] > 0), float(log_count[place[_END]])
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for k in range(0, len(texts), _ROWS):
+                per_text = [_words(t) for t in texts[k : k + _ROWS]]
+                length = np.array([len(w) for w in per_text], np.int64)
+                flat = [w for words in per_text for w in words]
+                at = np.array(list(map(place.__getitem__, flat)), np.int64)
+                owner = np.repeat(np.arange(len(per_text)), length)
+                cold = np.flatnonzero(at < 0)
+                rare = [flat[j] for j in cold.tolist()]
+                rare_tail = np.array([zlib.crc32(w[-2:]) % TAILS for w in rare], np.int64)
+                units = unit[at]
+                units[cold] = tail_unit[rare_tail]
+                total = lambda weights, own=owner, n=len(per_text): np.bincount(own, weights=weights, minlength=n)
+                n_cold = np.bincount(owner[cold], minlength=len(per_text))
+                ends, cold_ends = np.cumsum(length), np.cumsum(n_cold)
+                own_rare = [rare[b - n : b] for b, n in zip(cold_ends.tolist(), n_cold.tolist(), strict=True)]
+                yield {name: batch.column(name).slice(k, _ROWS) for name in kept} | {
+                    "row": np.arange(number, number + len(per_text)), "n_tokens": length + 1,
+                    "hot_known": length - n_cold + end_known, "hot_log": total(log_count[at]) + end_log,
+                    "beyond": total(beyond[at]) - np.bincount(owner[cold], weights=s.tail_base[rare_tail], minlength=len(per_text)),
+                    "rare": own_rare, "units": [units[b - n : b].tobytes() for b, n in zip(ends.tolist(), length.tolist(), strict=True)],
+                }
+                number += len(per_text)
+
+    kept = [c for c in source.columns if c != "text"]
+    kinds = dict(source.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in kept) + "row long, n_tokens long, hot_known long, hot_log double, beyond double, rare array<binary>, units binary"
+    return map_arrow(source, schema, rows)
+
+
+def dealt(encoded: DataFrame, replicas: int, rounds: int) -> DataFrame:
+    """``(round, replica, row, units)``: every row once. Replicas are keys, so their number doesn't depend on how partitions are set."""
+    part = lambda seed, n: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
+    return encoded.select(part(2, rounds).alias("round"), part(3, replicas).alias("replica"), "row", "units")
+
+
+def fit(encoded: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 16) -> gru.Model:
+    """Average of replicas, trained side by side in ``rounds`` rounds that share out all rows of ``encoded``."""
     model = gru.Model.fresh(stats.unit_counts, stats.end, hidden)
     if not stats.tokens:
         return model
     replicas = max(1, round(stats.tokens / REPLICA_TOKENS))
-    spark = training.sparkSession
-    unit_table = spark.sparkContext.broadcast(stats)
-
-    def encoded(batches: Iterator[pa.RecordBatch]):
-        units = _Encoder(unit_table.value)
-        for batch in batches:
-            found = [np.array([units[w] for w in _words(t)], "<u2").tobytes() for t in batch.column("text").to_pylist()]
-            yield {"id": batch.column("id"), "units": found}
-
-    texts = map_arrow(training.select("id", "text"), f"id {dict(training.dtypes)['id']}, units binary", encoded)
-    texts = stored(texts.withColumn("round", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(rounds)).cast("int")), "lm-fit")
+    spark = encoded.sparkSession
+    parts = dealt(encoded, replicas, rounds)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        part = texts.where(F.col("round") == k)
-        # replicas are keys, so their number doesn't depend on how partitions are set
-        dealt = part.withColumn("replica", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(replicas)).cast("int"))
-        dealt = dealt.repartition(replicas, "replica").sortWithinPartitions("replica", "id", "units").select("replica", "units")
-        pace = 0.01 * 0.6**k
+        part = parts.where(F.col("round") == k).repartition(replicas, "replica").sortWithinPartitions("replica", "row").select("replica", "units")
+        pace = 0.02 * 0.6**k
 
         def trained(batches: Iterator[pa.RecordBatch], shared=shared, k=k, pace=pace):
             replica, rows = None, []
@@ -173,7 +218,7 @@ def fit(training: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 3
                         yield done()
                         rows = []
                     replica = own
-                    rows.append(np.frombuffer(units, "<u2").astype(np.int64))
+                    rows.append(np.frombuffer(units, "<u2"))
             if rows:
                 yield done()
 
@@ -184,7 +229,7 @@ def fit(training: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 3
 
         schema = "group int, tokens long, flat binary"
         # replicas meet in groups of 32 before the few groups' averages come to the driver
-        groups = map_arrow(dealt, schema, trained).groupBy("group").applyInArrow(averaged, schema).collect()
+        groups = map_arrow(part, schema, trained).groupBy("group").applyInArrow(averaged, schema).collect()
         if groups:
             weight = np.array([g["tokens"] for g in groups], float)
             flat = sum(w * np.frombuffer(g["flat"], "<f4").astype(float) for w, g in zip(weight, groups, strict=True)) / weight.sum()
@@ -192,71 +237,46 @@ def fit(training: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 3
     return model
 
 
-def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
-    source = _source(docs, held_out, id_column, text_column)
-    training = source.where("not held_out")
-    counts = stored(word_counts(training), "lm-counts")
-    stats = statistics(counts)
-    model = fit(training, stats)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((stats, pickle.dumps(model)))
+def model_scores(encoded: DataFrame, model: gru.Model, columns: list[str]) -> DataFrame:
+    """``columns`` of every row and ``model``: the log10 probability of its units, its end included."""
+    shared = encoded.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        s, packed = shared.value
-        net = pickle.loads(packed)
-        # one row per hot word: logarithm of its count, unit, and what it adds beyond its unit's probability
-        place = {w: k for k, w in enumerate(s.hot)}
-        log_count = np.log10(np.array(list(s.hot.values()), float) + 1)
-        tail = np.array([zlib.crc32(w[-2:]) % TAILS for w in s.hot])
-        short = np.array([w in s.unit_of for w in s.hot], bool)
-        unit = np.array([s.unit_of.get(w, s.tail_unit[t]) for w, t in zip(s.hot, tail, strict=True)], np.int64)
-        beyond = np.where(short, 0.0, log_count - s.tail_base[tail])
-        end_known, end_log = int(s.hot[_END] > 0), float(log_count[place[_END]])
-        number = TaskContext.get().partitionId() << 33
-        waiting: dict[str, list] = {}
+        net = pickle.loads(shared.value)
+        waiting: list[pa.RecordBatch] = []
+        units: list[np.ndarray] = []
         size = 0
 
         def done():
-            nonlocal waiting, size
-            encoded = waiting.pop("units")
-            found = gru.score(net, encoded) / math.log(10)
-            out = waiting | {"model": found + np.array(waiting.pop("tail"))}
-            waiting, size = {}, 0
-            return out
+            table = pa.Table.from_batches(waiting).select(columns).combine_chunks()
+            return {c: table.column(c) for c in columns} | {"model": gru.score(net, units) / math.log(10)}
 
         for batch in batches:
-            for i, held, text in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = _words(text)
-                at = np.array([place.get(w, -1) for w in words], np.int64)
-                cold = np.flatnonzero(at < 0)
-                rare = [words[k] for k in cold]
-                rare_tail = np.array([zlib.crc32(w[-2:]) % TAILS for w in rare], np.int64)
-                units = unit[at]
-                units[cold] = np.array(s.tail_unit)[rare_tail]
-                hot = at[at >= 0]
-                row = {
-                    "row": number, "id": i, "held_out": held, "n_tokens": len(words) + 1,
-                    "hot_known": len(hot) + end_known, "hot_log": float(log_count[hot].sum()) + end_log,
-                    "rare": [{"word": w, "n": n} for w, n in Counter(rare).items()], "units": units,
-                    "tail": float(beyond[hot].sum() - s.tail_base[rare_tail].sum()),
-                }
-                number += 1
-                size += len(words) + 1
-                for k, v in row.items():
-                    waiting.setdefault(k, []).append(v)
-                if size > 400_000:
-                    yield done()
-        if waiting:
+            waiting.append(batch)
+            units += [np.frombuffer(u, "<u2") for u in batch.column("units").to_pylist()]
+            size = sum(len(u) + 1 for u in units)
+            if size > _SCORED:
+                yield done()
+                waiting, units = [], []
+        if units:
             yield done()
 
-    kind = dict(source.dtypes)["id"]
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, hot_known long, hot_log double, rare array<struct<word: binary, n: long>>, model double"
-    scored = stored(map_arrow(source, schema, rows), "lm-scores")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
+    kinds = dict(encoded.dtypes)
+    return map_arrow(encoded.select(*columns, "units"), ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", model double", rows)
+
+
+def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
+    source = _source(docs, held_out, id_column, text_column)
+    counts = stored(word_counts(source.where("not held_out")), "lm-counts")
+    stats = statistics(counts)
+    encoded = stored(encode(source, stats), "lm-encoded")
+    model = fit(encoded.where("not held_out"), stats)
+    scored = model_scores(encoded, model, ["row", "id", "held_out", "n_tokens", "hot_known", "hot_log", "beyond"])
+    rare = encoded.select("row", F.explode("rare").alias("word"))
     # log10(0 + 1) is 0: rare words that training lacks need no row
-    known = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("rare_log"))
-    joined = scored.drop("rare").join(known, "row", "left")
+    known = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("count") + 1)).alias("rare_log"))
+    joined = scored.join(known, "row", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     per_token = math.log10(stats.tokens + stats.distinct + 1)
     return joined.select(
@@ -264,5 +284,5 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_column: str =
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(stats.tokens).cast("long").alias("train_tokens"),
         (F.col("hot_log") + rare_log - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        (F.col("model") + rare_log).alias("score"),
+        (F.col("model") + F.col("beyond") + rare_log).alias("score"),
     )

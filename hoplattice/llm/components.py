@@ -26,10 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(current)
     while state[0]:
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # stored, so that both sides of the join are plain shuffles, which Spark may split at a hot node
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        smallest = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+        smallest = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = down.join(smallest, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
         current = stored(small.where("a <> b").distinct(), "edges")

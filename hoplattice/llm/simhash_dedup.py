@@ -9,8 +9,8 @@ so no task holds a whole hot shard. From each tree come links to a local root,
 never all pairs of a group.
 
 Two ways to choose the shards' bits. For a small radius (``block_tables``): within
-``radius`` differing bits, two fingerprints agree on two at least of ``radius + 2``
-blocks, so the pairs of blocks find every link. For a similarity of shingle sets
+``radius`` differing bits, two fingerprints agree on ``k`` at least of ``radius + k``
+blocks, so the choices of ``k`` blocks find every link. For a similarity of shingle sets
 (``sampled_tables``): random bits, as many tables as find a pair at just that
 similarity with the stated recall; the bits of a table grow with the logarithm of
 the number of fingerprints, so shards stay small at every size.
@@ -22,9 +22,9 @@ of each shard, nearest first; then every pair whose ends the links found so far
 don't connect. No candidate that could join two groups stays unchecked.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
-other; rows with a null id take no part in groups and have a null component;
-repeated rows are in one group; an empty table gives no rows; other columns are
-not read.
+other; in ``near_duplicates`` rows with a null id take no part in groups and have a
+null component; repeated rows are in one group, rows with one id and different texts
+each in their own text's; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -79,21 +79,31 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(doc_id, text_key, text)``: rows of one id are told apart by a hash of their text."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, break_ties: bool = False, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
     """``(doc_id, fp)``, ``fp`` as ``bits / 8`` bytes, highest first: a bit is 1 if set in over half the shingles' hashes.
 
     With ``break_ties`` the smallest hash counts half more, so that texts of few
-    shingles don't all lean to zero. With ``distinct`` each shingle counts once, and
-    ``set_key`` and ``size`` tell the set of shingles and their number.
+    shingles don't all lean to zero. With ``distinct`` each shingle counts once,
+    ``set_key`` and ``size`` tell the set of shingles and their number, and
+    ``text_key`` the text.
     """
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    source = _keyed(docs, id_column, text_column)
+    source = source if distinct else source.drop("text_key")
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for k in range(0, len(texts), _ROWS):
                 hashes = [shingle_set(t, words) if distinct else shingle_hashes(t, words) for t in texts[k : k + _ROWS]]
-                sets = {"set_key": [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], "size": [len(h) for h in hashes]} if distinct else {}
+                sets = {}
+                if distinct:
+                    sets = {"text_key": batch.column("text_key").slice(k, _ROWS), "set_key": [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], "size": [len(h) for h in hashes]}
                 count = np.array([len(h) for h in hashes], np.float64)
                 group = np.repeat(np.arange(len(hashes)), count.astype(np.int64))
                 flat = np.concatenate([np.array(h, np.uint64) for h in hashes])
@@ -108,13 +118,22 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, break_ties: bo
                 packed = np.stack(words64, axis=1).astype(">u8")
                 yield {"doc_id": batch.column("doc_id").slice(k, _ROWS), "fp": [r.tobytes() for r in packed]} | sets
 
-    return map_arrow(source, "doc_id long, fp binary" + (", set_key binary, size long" if distinct else ""), rows)
+    return map_arrow(source, "doc_id long, fp binary" + (", text_key long, set_key binary, size long" if distinct else ""), rows)
+
 
+def block_tables(bits: int, radius: int, rows: int, tree_rows: int = 512) -> list[np.ndarray]:
+    """Bit positions of each table: every choice of ``agree`` out of ``radius + agree`` blocks.
 
-def block_tables(bits: int, radius: int) -> list[np.ndarray]:
-    """Bit positions of each table: every pair of ``radius + 2`` blocks."""
-    blocks = np.array_split(np.arange(bits), radius + 2)
-    return [np.concatenate(pair) for pair in combinations(blocks, 2)]
+    Within the radius two fingerprints agree on ``agree`` blocks at least, so every
+    number of blocks finds every link. Single blocks give few tables and large
+    trees; more blocks are taken only where trees of ``rows`` fingerprints would hold
+    more than ``tree_rows`` on average.
+    """
+    agree = 1
+    while agree < 4 and rows >> (bits * agree // (radius + agree)) > tree_rows:
+        agree += 1
+    blocks = np.array_split(np.arange(bits), radius + agree)
+    return [np.concatenate(chosen) for chosen in combinations(blocks, agree)]
 
 
 def differing_share(similarity: float) -> float:
@@ -329,38 +348,50 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return map_arrow(both.select("a", "b", "text_a", "text_b"), "a long, b long", rows).distinct()
 
 
-def _components_of(marked: DataFrame, tables: list[np.ndarray], radius: int) -> DataFrame:
-    """``(fp, component_id)`` of the distinct fingerprints of rows with an id."""
-    distinct = stored(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    groups = components(links(distinct, tables, radius))
-    return distinct.join(groups, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+def _first_row(doc_id: str, text_key: str):
+    """Orders rows by id, those without one last, then by the hash of their text."""
+    return F.struct(F.col(doc_id).isNull().alias("absent"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(text_key).alias("text_key"))
+
 
+def _similar_kept(marked: DataFrame, docs: DataFrame, words: int, similarity: float, bits: int, shard_rows: int) -> DataFrame:
+    """``(absent, id, text_key)`` of the first row of each group; ``docs`` are ``(doc_id, text_key, text)``.
 
-def _similar_components(marked: DataFrame, docs: DataFrame, words: int, similarity: float, bits: int, shard_rows: int) -> DataFrame:
-    """``(component_id)`` of each distinct shingle set of ``marked``; ``docs`` are its ``(node, text)``."""
+    Nodes are the distinct shingle sets, numbered as they are stored, so rows that
+    share an id but not a text are in groups of their own.
+    """
     share = differing_share(similarity)
     radius = round(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
-    kinds = marked.where("doc_id is not null").groupBy("set_key", "fp", "size").agg(F.min("doc_id").alias("node"))
-    distinct = stored(kinds.select("node", "fp", "size", F.col("node").alias("label")), "simhash-distinct")
+    kinds = marked.groupBy("set_key", "fp", "size").agg(F.min(_first_row("doc_id", "text_key")).alias("first"))
+    distinct = stored(kinds.select(F.monotonically_increasing_id().alias("node"), "fp", "size", "first"), "simhash-distinct")
+    labelled = distinct.select("node", "fp", "size", F.col("node").alias("label"))
     tables = sampled_tables(bits, similarity, distinct.count())
-    first = stored(candidates(distinct, tables, radius, similarity, True, shard_rows), "simhash-candidates")
+    first = stored(candidates(labelled, tables, radius, similarity, True, shard_rows), "simhash-candidates")
     met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    texts = stored(docs.join(met, "node").select("node", "text"), "simhash-texts")
+    wanted = distinct.join(met, "node").select("node", "first.*")
+    keyed = docs.select(_first_row("doc_id", "text_key").alias("first"), "text").select("first.*", "text")
+    texts = stored(keyed.join(wanted, ["absent", "id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "simhash-texts")
     found = stored(similar(first, texts, words, similarity), "simhash-links")
     groups = components(found)
     # a node without any candidate in the first round has none in the second
-    apart = distinct.drop("label").join(met, "node").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    apart = distinct.select("node", "fp", "size").join(met, "node").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node"))
     rest = candidates(stored(apart.drop("root"), "simhash-apart"), tables, radius, similarity, False, shard_rows).join(first, ["a", "b"], "left_anti")
     more = stored(similar(stored(rest, "simhash-candidates"), texts, words, similarity), "simhash-links")
     if not more.isEmpty():
         groups = components(found.union(more))
-    return distinct.join(groups, "node", "left").select(F.coalesce("root", "node").alias("component_id"))
+    return distinct.join(groups, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.*")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: the smallest id reachable through links of 64-bit fingerprints."""
     marked = stored(fingerprints(docs, words, 64, False, id_column, text_column), "simhash")
-    out = marked.join(_components_of(marked, block_tables(64, radius), radius), "fp", "left")
+    # a node is the fingerprint itself, so that rows with one id and different texts are nodes of their own
+    node = F.conv(F.hex("fp"), 16, -10).cast("long")
+    classes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", node)
+    distinct = stored(classes, "simhash-distinct")
+    groups = components(links(distinct, block_tables(64, radius, distinct.count()), radius))
+    rooted = distinct.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")).select("fp", "root", "first")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    out = marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp", "left")
     return out.select(
         F.col("doc_id").alias(id_column),
         F.lower(F.hex("fp")).alias("fingerprint"),
@@ -371,17 +402,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column:
 def one_of_each_group(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 2000
 ) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their group of texts of that similarity or more.
+    """One row of ``docs`` for each group of texts of that similarity or more: that with the smallest id.
 
     Two texts link if the Jaccard similarity of their distinct shingles is
     ``similarity`` or more; texts without shingles are alike. Candidates differ in no
     more fingerprint bits than the similarity lets expect, and ``DEVIATIONS`` standard
-    deviations. Of rows with one id the first by text stays; rows without an id all stay.
+    deviations. Rows that share an id are grouped by their own texts; rows without an
+    id come after all others; of equal rows one stays. All columns stay, whatever their names.
     """
     marked = stored(fingerprints(docs, words, bits, True, id_column, text_column, distinct=True), "simhash")
-    texts = docs.select(F.col(id_column).cast("long").alias("node"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    kept = _similar_components(marked, texts, words, similarity, bits, shard_rows).select(F.col("component_id").alias("_kept_id")).distinct()
-    joined = docs.join(kept, F.col(id_column) == F.col("_kept_id"))
-    first = F.row_number().over(Window.partitionBy("_kept_id").orderBy(text_column))
-    once = joined.withColumn("_row", first).where("_row = 1").select(*docs.columns)
-    return once.unionByName(docs.where(F.col(id_column).isNull()))
+    keyed = _keyed(docs, id_column, text_column)
+    kept = _similar_kept(marked, keyed, words, similarity, bits, shard_rows)
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    rows = rows.select("doc", _first_row("doc_id", "text_key").alias("first")).select("doc", "first.*")
+    keys = ["absent", "id", "text_key"]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.hash("doc")))
+    return rows.join(kept, keys).withColumn("number", number).where("number = 1").select("doc.*")

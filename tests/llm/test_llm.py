@@ -184,9 +184,35 @@ def test_op6_hot_shards_are_cut_without_losing_links(spark):
     values = {k: base ^ sum(1 << int(b) for b in RNG.choice(64, RNG.integers(0, 5), replace=False)) for k in range(60)}
     values = {k: v for k, v in values.items() if list(values.values()).index(v) == k}
     table = spark.createDataFrame([(k, bytearray(v.to_bytes(8))) for k, v in values.items()], "node long, fp binary")
-    edges = simhash_dedup.links(table, simhash_dedup.block_tables(64, 4), 4, shard_rows=7)
+    edges = simhash_dedup.links(table, simhash_dedup.block_tables(64, 4, 60), 4, shard_rows=7)
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
-    assert {k: got.get(k, k) for k in values} == roots(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    want = roots(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    assert {k: got.get(k, k) for k in values} == want
+    for rows, tables in ((60, 5), (10**8, 15), (10**10, 35)):  # more blocks agree where there are more fingerprints
+        chosen = simhash_dedup.block_tables(64, 4, rows)
+        assert len(chosen) == tables
+        got = {r["node"]: r["root"] for r in components.components(simhash_dedup.links(table, chosen, 4)).collect()}
+        assert {k: got.get(k, k) for k in values} == want
+
+
+def test_op6_rows_of_one_id_are_grouped_by_their_own_texts(spark):
+    a, b = prose(60), prose(70)
+    table = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, b, 0), (7, a, 0)], "doc_id long, text string, component_id int")
+    got = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash_dedup.near_duplicates(table).collect())
+    fp = {t: f"{fingerprint64(t):016x}" for t in (a, b)}
+    assert got == sorted([(1, fp[a], 1), (1, fp[b], 1), (2, fp[b], 1), (7, fp[a], 1)])
+
+
+def test_dedup_stage_loses_no_row_through_a_shared_id(spark):
+    rng = np.random.default_rng(21)
+    a, b, c, d = (prose(80, rng) for _ in range(4))
+    rows = [(1, a, 5, "x"), (1, b, 6, "y"), (2, c, 7, "z"), (3, d, 8, "u"), (3, d + " x", 9, "v"), (None, a, 1, "w"), (None, "alone", 1, "w"), (4, c, 0, "s"), (2, c, 7, "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, node long, first string")
+    kept = simhash_dedup.one_of_each_group(table)
+    assert kept.columns == table.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == 5 and {(1, a), (1, b), (2, c), (None, "alone")} < set(got) and sum(i == 3 for i, _ in got) == 1
+    assert simhash_dedup.one_of_each_group(table.limit(0)).count() == 0
 
 
 def test_components_of_chains(spark):
@@ -207,7 +233,8 @@ def test_dedup_stage_catches_copies_and_keeps_the_rest(spark):
             changed[at] = "changed"
         rows.append((3 * k + 2, " ".join(changed), "en"))
     table = spark.createDataFrame([*rows, (None, "z", "en")], "doc_id long, text string, lang string")
-    kept = simhash_dedup.one_of_each_group(table)
+    kept = simhash_dedup.one_of_each_group(table).cache()
+    assert kept.where("doc_id is null").count() == 1
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
     assert kept.columns == table.columns and set(range(0, 180, 3)) <= set(ids) and len(ids) <= 62
 
@@ -273,15 +300,57 @@ def test_op8_counts_and_gain(spark):
     assert got[None]["held_out"] and lm.score(docs.limit(0)).count() == 0
 
 
-def test_op8_every_training_document_is_fitted_on_at_every_size(spark, monkeypatch):
-    # small replicas stand for a large corpus: 300 documents fill about 30 of them
-    monkeypatch.setattr(lm, "REPLICA_TOKENS", 300)
-    taken = []
-    monkeypatch.setattr(lm, "stored", lambda df, label: taken.append((label, df)) or df)
-    training = spark.createDataFrame([(k, prose(30)) for k in range(300)] + [(7, "again"), (301, None)], "id long, text string").fillna("")
-    lm.fit(training, lm.statistics(lm.word_counts(training)), hidden=4)
-    ids = [r["id"] for label, df in taken if label == "lm-fit" for r in df.select("id").collect()]
-    assert sorted(ids) == sorted([*range(300), 7, 301])
+def test_op8_every_training_document_is_fitted_on_at_every_size(spark):
+    training = spark.createDataFrame([(k, prose(30)) for k in range(300)] + [(7, "again"), (301, None)], "id long, text string").fillna("").repartition(3)
+    stats = lm.statistics(lm.word_counts(training))
+    encoded = lm.encode(training, stats).cache()
+    rows = sorted(r["row"] for r in encoded.collect())
+    assert len(set(rows)) == 302
+    for replicas in (1, 30):
+        parts = lm.dealt(encoded, replicas, 3).collect()
+        assert sorted(r["row"] for r in parts) == rows and {r["replica"] for r in parts} == set(range(replicas)) and {r["round"] for r in parts} == {0, 1, 2}
+
+
+def test_op8_score_is_the_sum_over_the_text(spark):
+    """Every document's score, word by word: state by state, class by class, with the word's share of its tail."""
+    rng = np.random.default_rng(17)
+    texts = {k: prose(int(rng.integers(1, 80)), rng) for k in range(120)} | {500: prose(21_000, rng), 501: "", 502: None, 503: "unseen Words here", 504: "x" * 3_000_000}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").fillna("").repartition(3)
+    stats = lm.statistics(lm.word_counts(docs.where("id % 5 <> 2")), hot_words=100, shortlist=40)
+    encoded = lm.encode(docs, stats).cache()
+    model = lm.fit(encoded.where("id % 5 <> 2"), stats, rounds=1, hidden=6)
+    got = {r["id"]: r for r in lm.model_scores(encoded, model, ["id", "beyond", "rare"]).collect()}
+    p = {k: v.astype(float) for k, v in model.values.items()}
+    counts = Counter(w for k, t in texts.items() if k % 5 != 2 for w in [*(t or "").encode().lower().split(), b""])
+    members = {}
+    for w in counts:
+        if w not in stats.unit_of:
+            members.setdefault(zlib.crc32(w[-2:]) % lm.TAILS, []).append(counts[w])
+
+    def softmax(x):
+        x = np.exp(x - x.max())
+        return x / x.sum()
+
+    for k in (0, 1, 7, 57, 500, 501, 502, 503, 504):
+        words_in, h, total = (texts[k] or "").encode().lower().split(), np.zeros(6), 0.0
+        before = stats.end
+        for w in [*words_in, b""]:
+            if before == stats.end:
+                h = np.zeros(6)
+            z, r = ((1 + np.tanh(p[f"in_{g}"][before] + h @ p[g])) / 2 for g in "zr")
+            c = np.tanh(p["in_c"][before] + (r * h) @ p["c"])
+            h = z * h + (1 - z) * c
+            tail = zlib.crc32(w[-2:]) % lm.TAILS
+            unit = stats.unit_of.get(w, stats.tail_unit[tail])
+            of_class, within = divmod(unit, model.per_class)
+            units = slice(of_class * model.per_class, (of_class + 1) * model.per_class)
+            total += math.log10(softmax(h @ p["class"] + p["class_bias"])[of_class]) + math.log10(softmax(p["unit"][units] @ h + p["unit_bias"][units])[within])
+            if w not in stats.unit_of:
+                own = members.get(tail, [])
+                total += math.log10((counts[w] + 1) / (sum(own) + len(own) + 1))
+            before = unit
+        rare_log = sum(math.log10(counts[bytes(w)] + 1) for w in got[k]["rare"])
+        assert got[k]["model"] + got[k]["beyond"] + rare_log == pytest.approx(total, rel=2e-4), k
 
 
 def test_gru_gradients_and_windows():

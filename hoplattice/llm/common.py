@@ -22,10 +22,16 @@ ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name in a data folder."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, whose default bound is rows alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -33,11 +39,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on
-    one machine), a temporary folder is made and kept in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset on one
+    machine (tests), a temporary folder is made and kept in the session; on a
+    cluster, whose executors would not share it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -58,7 +67,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def map_arrow(
     df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, Any]]]
 ) -> DataFrame:
-    """``mapInArrow`` for functions that yield columns as a dict of sequences."""
+    """``mapInArrow`` for functions that yield columns as a dict of sequences; batches are bounded by their bytes."""
+    bounded_batches(df.sparkSession)
     spark_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(spark_schema)
 
@@ -76,15 +86,18 @@ def held_out_column(id_column: str, modulus: int, remainder: int) -> str:
     return f"coalesce(pmod(crc32(cast(cast({id_column} as string) as binary)), {modulus}) = {remainder}, true)"
 
 
-def chunk_pairs(keyed: DataFrame, key: str, row_id: str, limit: int) -> DataFrame:
+def chunk_pairs(keyed: DataFrame, key: str, row_id: str, limit: int, hot: DataFrame | None = None) -> DataFrame:
     """Deal the rows of each key into work units; adds ``low``, ``high`` and ``first``.
 
     A key of ``limit`` rows or fewer is one unit (0, 0). A larger one is cut into
     chunks by a hash of ``row_id``, and each pair of chunks is a unit, which holds
     the lower chunk's rows (``first``) and the higher chunk's. Every two rows of a
-    key meet in exactly one unit, and no unit is larger than two chunks.
+    key meet in exactly one unit, and no unit is larger than two chunks. ``hot``, if
+    it is known more cheaply than from ``keyed``, has ``key`` and ``rows`` of the larger keys.
     """
-    hot = keyed.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
+    if hot is None:
+        hot = keyed.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
+    hot = stored(hot.select(key, F.col("rows").alias("_size")), "hot-keys")
     if hot.isEmpty():
         return keyed.withColumns({"low": F.lit(0), "high": F.lit(0), "first": F.lit(True)})
     cut = keyed.join(hot, key, "left").withColumn("_chunks", F.ceil(F.coalesce("_size", F.lit(1)) / limit).cast("int"))

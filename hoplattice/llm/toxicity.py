@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplattice.llm.common import held_out_column, map_arrow
+from hoplattice.llm.common import bounded_batches, held_out_column, map_arrow
 
 SAMPLE_ROWS = 16_384
 MAX_TERMS = 8_192
@@ -184,4 +184,5 @@ def without_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float
             found = [np.array([p for p in {places[w] for w in (t or "").encode().lower().split()} if p >= 0], np.int64) for t in texts]
             yield batch.filter(pa.array(fm.score(found) < threshold))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)

@@ -280,6 +280,37 @@ def test_op7_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_op7_links_within_each_dimension(spark):
+    """A malformed vector with the smallest id costs the others nothing; ids may repeat, names may clash."""
+    rng = np.random.default_rng(16)
+    three, eight = rng.normal(size=3), rng.normal(size=8)
+    rows = [(0, list(map(float, eight))), (1, list(map(float, three))), (2, list(map(float, three))), (2, list(map(float, three * 2))), (3, [*map(float, eight), 0.0]), (4, [1.0]), (5, [-1.0]), (6, [2.0])]
+    table = spark.createDataFrame([(*r, 5, True) for r in rows], "vec_id long, embedding array<double>, node int, kept boolean")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(table).collect())
+    assert got == [(0, 0, 0, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 0, 5, True), (6, 1, 4, False)]
+
+
+def test_op7_trees_go_deeper_than_their_sample(spark):
+    """Leaves stay small when the table is far larger than the sample, and near vectors still meet."""
+    rng = np.random.default_rng(18)
+    vectors = rng.normal(size=(20_000, 24))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = vectors[:2000] + rng.normal(size=(2000, 24)) * 0.04
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    trees = embedding_dedup.forest(vectors[:300], 20_000, 0.95, leaf_target=64)
+    met = np.zeros(2000, bool)
+    for tree in trees:
+        found = embedding_dedup.leaves_of(tree, np.concatenate([vectors, near]))
+        assert np.mean([len(rows) for _, rows in found]) < 64 * 4
+        of = [set() for _ in range(22_000)]
+        for leaf, rows in found:
+            for r in rows.tolist():
+                of[r].add(leaf)
+        met |= np.array([bool(of[k] & of[20_000 + k]) for k in range(2000)])
+    linked = (vectors[:2000] * near).sum(axis=1) >= 0.95
+    assert linked.sum() > 1000 and met[linked].mean() > 0.95
+
+
 def test_op8_counts_and_gain(spark):
     rng = np.random.default_rng(7)
     vocabularies = [WORDS[:60], WORDS[60:120]]

@@ -16,6 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Bytes of one Arrow batch sent to a Python worker; bounds the memory of workers on long texts.
 BATCH_BYTES = 8 << 20
 
+#: Longer words are worked out each time, so that what workers remember of words is bounded in bytes.
+LONG_WORD = 64
+
 #: Words end at these characters and no others (ASCII space, tab, newline, VT, FF, CR).
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 

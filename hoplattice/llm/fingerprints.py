@@ -1,8 +1,8 @@
 """Document fingerprints: SimHash of weighted terms, and the search for near fingerprints.
 
 A term is a pair of neighbouring words (the only word, if there is one). Each
-occurrence votes with the number of letters of its words on 128 signed bits, so
-rare long words outweigh common short ones. The likeness of two fingerprints is
+occurrence votes with the number of bytes of its words (63 at most each) on 128
+signed bits, so rare long words outweigh common short ones. The likeness of two fingerprints is
 the cosine that their Hamming distance estimates, 0 at least.
 
 Defined cases: a null text is empty; an empty text has fingerprint zero; equal
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.llm import votes
@@ -28,6 +28,7 @@ from hoplattice.llm.common import map_arrow, shuffle_partitions
 
 BITS = 128
 _MEMO_WORDS = 400_000
+_MEMO_BYTES = 32 << 20
 _LEAST_ID = -(2**63)
 
 
@@ -37,6 +38,7 @@ class TermHasher:
     def __init__(self) -> None:
         self._index: dict[bytes, int] = {}
         self._hash: list[int] = []
+        self._bytes = 0
 
     def _words(self, text: str) -> list[int]:
         out = []
@@ -45,13 +47,14 @@ class TermHasher:
             at = index.get(word)
             if at is None:
                 at = index[word] = len(hashes)
+                self._bytes += len(word)
                 hashes.append(xxhash.xxh64_intdigest(word, 1) & ~0x3F | min(len(word), 63))  # low six bits: length
             out.append(at)
         return out
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
         """Two 64-bit halves for each text."""
-        if len(self._index) > _MEMO_WORDS:
+        if len(self._index) > _MEMO_WORDS or self._bytes > _MEMO_BYTES:
             self.__init__()
         per_text = [self._words(t) for t in texts]
         count = np.array([len(w) for w in per_text], dtype=np.int64)
@@ -104,35 +107,61 @@ def fingerprint(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return map_arrow(source, f"id {kind}, fingerprint string", rows).withColumnRenamed("id", id_column)
 
 
+def _halves(fingerprint: str) -> tuple[Column, Column]:
+    return tuple(F.conv(F.substring(fingerprint, at, 16), 16, -10).cast("long") for at in (1, 17))
+
+
+def _masks(blocks: int) -> list[tuple[int, int]]:
+    """For each block of neighbouring bits its mask in either half, as signed longs."""
+    bounds = [BITS * k // blocks for k in range(blocks + 1)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    whole = [(1 << (BITS - a)) - (1 << (BITS - b)) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [(signed(m >> 64), signed(m & (1 << 64) - 1)) for m in whole]
+
+
 def within_radius(
     queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks: int | None = None, id_column: str = "doc_id"
 ) -> DataFrame:
     """All ``(query, match, distance)`` at ``radius`` differing bits or fewer, by permuted block tables.
 
-    The 128 bits are cut into ``blocks`` blocks (``radius + 1`` by default, so that
-    two fingerprints within the radius agree on a whole block). Each table holds
-    the fingerprints keyed by another block; candidates share a key and are then
-    verified. Both sides are first reduced to their distinct fingerprints, so
+    The 128 bits are cut into ``blocks`` blocks, more than ``radius`` (``radius + 1`` by
+    default), so that two fingerprints within the radius agree on a whole block. Each
+    table holds the fingerprints keyed by another block; candidates share a key and
+    are then verified. Both sides are first reduced to their distinct fingerprints, so
     copies cost nothing; ``match`` is a distinct fingerprint, to be joined to rows
     by the caller. A pair found in several tables is kept in the first of them.
     """
-    n = blocks or radius + 1
-    bounds = [128 * k // n for k in range(n + 1)]
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        bits = F.concat(*(F.lpad(F.conv(F.substring("fingerprint", 8 * k + 1, 8), 16, 2), 32, "0") for k in range(4)))
-        halves = [F.substring(bits, a + 1, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
-        return df.select(F.col("fingerprint").alias(name), F.posexplode(F.array(*halves)).alias("block", "value"), F.array(*halves).alias(f"{name}_blocks"))
-
-    left = keyed(queries.select("fingerprint").distinct(), "query_fp")
-    right = keyed(fingerprints.select("fingerprint").distinct(), "match")
-    part = lambda c, k: F.conv(F.substring(c, 8 * k + 1, 8), 16, 10).cast("long")
-    distance = sum((F.bit_count(part("query_fp", k).bitwiseXOR(part("match", k))) for k in range(4)), F.lit(0))
-    first = F.array_position(F.zip_with("query_fp_blocks", "match_blocks", lambda a, b: a == b), True) - 1
-    pairs = left.join(right, ["block", "value"]).where(first == F.col("block"))
-    pairs = pairs.select("query_fp", "match", distance.cast("int").alias("distance")).where(F.col("distance") <= radius)
-    rows = queries.select(F.col(id_column).alias("query"), F.col("fingerprint").alias("query_fp"))
-    return rows.join(pairs, "query_fp").select("query", "match", "distance")
+    n = radius + 1 if blocks is None else blocks
+    if n <= radius or n > BITS:
+        raise ValueError(f"{n} blocks do not find all pairs within {radius} bits: more than {radius} and at most {BITS} are needed")
+    masks = _masks(n)
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        high, low = (F.col(f"{side}_{half}") for half in ("high", "low"))
+        tables = [F.struct(F.lit(k).alias("block"), high.bitwiseAND(a).alias("high"), low.bitwiseAND(b).alias("low")) for k, (a, b) in enumerate(masks)]
+        halves = df.select("fingerprint").distinct().select(*(c.alias(f"{side}_{half}") for c, half in zip(_halves("fingerprint"), ("high", "low"), strict=True)))
+        return halves.withColumn("key", F.explode(F.array(*tables))).select(f"{side}_high", f"{side}_low", "key.*")
+
+    high, low = (F.col(f"query_{half}").bitwiseXOR(F.col(f"match_{half}")) for half in ("high", "low"))
+    first = F.coalesce(*(F.when((high.bitwiseAND(a) == 0) & (low.bitwiseAND(b) == 0), F.lit(k)) for k, (a, b) in enumerate(masks)))
+    distance = F.bit_count(high) + F.bit_count(low)
+    pairs = keyed(queries, "query").join(keyed(fingerprints, "match"), ["block", "high", "low"]).where((distance <= radius) & (first == F.col("block")))
+    digits = F.lower(F.concat(*(F.lpad(F.hex(f"match_{half}"), 16, "0") for half in ("high", "low"))))
+    pairs = pairs.select("query_high", "query_low", digits.alias("match"), distance.cast("int").alias("distance"))
+    rows = queries.select(F.col(id_column).alias("query"), *(c.alias(f"query_{half}") for c, half in zip(_halves("fingerprint"), ("high", "low"), strict=True)))
+    return rows.join(pairs, ["query_high", "query_low"]).select("query", "match", "distance")
+
+
+def with_neighbours(marked: DataFrame, queries: str, radius: int = 3, id_column: str = "doc_id") -> DataFrame:
+    """``marked`` with ``n_within``: for the rows where SQL ``queries`` holds, the rows whose fingerprint lies within the radius, itself included; else null.
+
+    ``marked`` is read several times, so it is best a stored table.
+    """
+    asked = marked.where(queries).select(id_column, "fingerprint")
+    copies = marked.groupBy("fingerprint").agg(F.count("*").alias("copies"))
+    found = within_radius(asked.distinct(), copies, radius, id_column=id_column).join(copies, F.col("match") == F.col("fingerprint"))
+    counts = found.groupBy(F.col("query").alias("_query"), "match").agg(F.max("copies").alias("copies")).groupBy("_query").agg(F.sum("copies").alias("n_within"))
+    return marked.join(counts, F.col(id_column) == F.col("_query"), "left").drop("_query")
 
 
 def _with_buckets(docs: DataFrame, n: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:

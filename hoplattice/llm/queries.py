@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hoplattice.llm import bpe, embedding_dedup, fingerprints, lm, packing, secrets, simhash_dedup, token_counts, toxicity, url_filter
-from hoplattice.llm.common import read
+from hoplattice.llm.common import read, stored
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+    marked = stored(fingerprints.fingerprint_edits(read(spark, sf_dir, "documents")), "fingerprints")
+    return fingerprints.with_neighbours(marked, "doc_id % 100 = 0", radius=3)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.llm import wordtable
-from hoplattice.llm.common import map_arrow
+from hoplattice.llm.common import LONG_WORD, map_arrow
 
 END = "</w>"
 _MEMO_WORDS = 500_000
@@ -111,7 +111,9 @@ class _Counts(dict):
         self._automaton = automaton
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self._automaton.count(wordtable.byte_letters(word))
+        n = self._automaton.count(wordtable.byte_letters(word))
+        if len(word) <= LONG_WORD:
+            self[word] = n
         return n
 
 

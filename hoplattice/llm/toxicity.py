@@ -4,13 +4,13 @@ A document's features are the distinct hashed terms it holds. Its score is
 ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)``: besides the weight of each term,
 a learned product for each pair of them, so that two terms may be toxic together
 which are not alone. The model is fitted on a bounded sample of labelled rows
-(``sample_rows``, taken in hash order of the id) by AdaGrad on the log loss; terms
-whose document counts don't differ between the labels are left out, ``max_terms``
-at most stay. Scoring reads every whole text and shuffles nothing.
+(``sample_rows``, taken in hash order of the id) by AdaGrad on the log loss; of the
+sample's terms ``max_terms`` at most stay, those whose document counts differ between
+the labels, alone or beside another term. Scoring reads every whole text and shuffles nothing.
 
 Defined cases: a null or empty text has no terms and gets the model's base rate;
 without labels of both kinds the score is the share of toxic labels (0 without
-any); of several labels of one id the largest counts; rows with a null id are
+any); of several labels of one id the largest counts, of several texts the first by terms; rows with a null id are
 scored and held out; repeated rows are scored each; other columns are not read.
 """
 
@@ -26,11 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoplattice.llm.common import bounded_batches, held_out_column, map_arrow
+from hoplattice.llm.common import LONG_WORD, bounded_batches, held_out_column, map_arrow
 
 SAMPLE_ROWS = 16_384
 MAX_TERMS = 8_192
 FACTORS = 8
+#: Terms without a difference of their own that are counted in pairs, and the least difference of a pair: one in 2 * 10^9 by chance.
+PAIRED = 1_024
+PAIR_DIFFERENCE = 36.0
 THRESHOLD = 0.7
 _HASH_BITS = 28
 _MEMO_WORDS = 400_000
@@ -62,17 +65,42 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
+def _differing(toxic: np.ndarray, both: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Pearson's statistic of ``toxic`` out of ``both`` documents where ``rate`` are expected."""
+    return (toxic - both * rate) ** 2 / np.maximum(both * rate * (1 - rate), 1e-9)
+
+
 def _selected(rows: list[np.ndarray], label: np.ndarray, max_terms: int) -> np.ndarray:
-    """Terms whose document counts differ between the labels, by Pearson's chi-square."""
+    """Terms whose document counts differ between the labels, and those that make a difference only beside another term.
+
+    For the second, the ``PAIRED`` most frequent terms without a difference of their own
+    are counted beside each other and beside as many of the first kind: a pair counts
+    if its documents' labels differ from the rate that its first term alone lets expect.
+    """
     flat = np.concatenate(rows)
-    positive = np.repeat(label > 0, [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     terms, place = np.unique(flat, return_inverse=True)
     both = np.bincount(place).astype(float)
-    toxic = np.bincount(place, weights=positive)
+    toxic = np.bincount(place, weights=label[row] > 0)
     n, p = len(rows), label.mean()
-    chi = (toxic - both * p) ** 2 / (both * p * (1 - p) * np.maximum(1 - both / n, 1e-9))
-    found = np.flatnonzero((chi > 12) & (both >= 3))
-    return np.sort(terms[found[np.argsort(-chi[found], kind="stable")[:max_terms]]])
+    chi = _differing(toxic, both, p) / np.maximum(1 - both / n, 1e-9)
+    single = (chi > 12) & (both >= 3)
+    strongest = np.flatnonzero(single)[np.lexsort((np.flatnonzero(single), -chi[single]))]
+    others = np.flatnonzero(~single & (both >= 8))
+    others = np.sort(others[np.argsort(-both[others], kind="stable")[:PAIRED]])
+    beside = np.concatenate([others, np.sort(strongest[:PAIRED])])
+    column = np.full(len(terms), -1)
+    column[beside] = np.arange(len(beside))
+    held = np.zeros((n, len(beside)), np.float32)
+    inside = column[place] >= 0
+    held[row[inside], column[place[inside]]] = 1
+    paired = held.T @ held[:, : len(others)]
+    toxic_paired = held[label > 0].T @ held[label > 0][:, : len(others)]
+    rate = np.concatenate([np.full(len(others), p), toxic[beside[len(others) :]] / both[beside[len(others) :]]])[:, None]
+    found = (_differing(toxic_paired, paired, rate) > PAIR_DIFFERENCE) & (paired >= 8)
+    found[np.arange(len(others)), np.arange(len(others))] = False
+    joined = others[found.any(axis=0)]
+    return np.sort(terms[np.concatenate([joined, strongest])[:max_terms]])
 
 
 def train(rows: list[np.ndarray], label: np.ndarray, max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 40, seed: int = 5) -> FactorizationMachine:
@@ -126,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1),
             terms = [np.unique(np.array([_term(w) for w in set(t.encode().lower().split())], np.int64)) for t in batch.column("text").to_pylist()]
             yield {"id": batch.column("id"), "label": batch.column("label"), "terms": [t.astype("<i4").tobytes() for t in terms]}
 
-    gathered = map_arrow(chosen, "id long, label int, terms binary", hashed).repartition(1).sortWithinPartitions("id", "terms")
+    # one row an id, so that the rows are as bounded as the ids
+    once = map_arrow(chosen, "id long, label int, terms binary", hashed).groupBy("id", "label").agg(F.min("terms").alias("terms"))
+    gathered = once.repartition(1).sortWithinPartitions("id", "terms")
 
     def trained(batches: Iterator[pa.RecordBatch]):
         rows, label = [], []
@@ -147,7 +177,9 @@ class _Positions(dict):
         self._of = {int(t): k for k, t in enumerate(terms)}
 
     def __missing__(self, word: bytes) -> int:
-        place = self[word] = self._of.get(_term(word), -1)
+        place = self._of.get(_term(word), -1)
+        if len(word) <= LONG_WORD:
+            self[word] = place
         return place
 
 

@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 
 #: Distinct words that a worker holds; beyond it the table starts anew, so its memory is bounded.
 MAX_WORDS = 700_000
+#: And their characters.
+MAX_CHARACTERS = 40_000_000
 
 _NOT_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]|<\\|")
 # Fixed value: the tokenizer's own pattern, with its classes spelt out for plain texts.
@@ -30,9 +32,10 @@ class _Words(dict):
 
     def __init__(self, ids_of) -> None:
         super().__init__()
-        self.flat, self.ends, self._ids_of = array("I"), array("q", [0]), ids_of
+        self.flat, self.ends, self._ids_of, self.characters = array("I"), array("q", [0]), ids_of, 0
 
     def __missing__(self, word: str) -> int:
+        self.characters += len(word)
         self.flat.extend(self._ids_of(word))
         self.ends.append(len(self.flat))
         row = self[word] = len(self)
@@ -67,7 +70,7 @@ class WordTable:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self._words) + len(self._runs) > MAX_WORDS:
+        if len(self._words) + len(self._runs) > MAX_WORDS or self._words.characters + self._runs.characters > MAX_CHARACTERS:
             self._clear()
         words, runs = self._words, self._runs
         plain = [not _NOT_PLAIN.search(t) for t in texts]

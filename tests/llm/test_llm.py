@@ -75,6 +75,48 @@ def test_op1_search_finds_all_within_the_radius(spark):
     assert found == want
 
 
+def test_op1_search_refuses_too_few_blocks_and_counts_rows(spark):
+    base = int.from_bytes(RNG.bytes(16))
+    values = [base, base, base ^ 7, base ^ (1 << 127), int.from_bytes(RNG.bytes(16)), 0, 0]
+    table = spark.createDataFrame([(100 * (k % 2) + k * 200, f"{v:032x}") for k, v in enumerate(values)], "doc_id long, fingerprint string")
+    for blocks in (1, 2, 3, 129):
+        with pytest.raises(ValueError):
+            fingerprints.within_radius(table, table, 3, blocks)
+    for blocks in (4, 5, 128):
+        found = {(r["query"], r["match"]) for r in fingerprints.within_radius(table, table, 3, blocks).collect()}
+        assert found == {(100 * (k % 2) + k * 200, f"{w:032x}") for k, v in enumerate(values) for w in values if (v ^ w).bit_count() <= 3}
+    got = by_id(fingerprints.with_neighbours(table, "doc_id % 200 = 0"))
+    for k, v in enumerate(values):
+        want = sum((v ^ w).bit_count() <= 3 for w in values) if k % 2 == 0 else None
+        assert got[100 * (k % 2) + k * 200]["n_within"] == want
+    assert fingerprints.with_neighbours(table.limit(0), "true").count() == 0
+
+
+def test_op1_fingerprint_is_the_weighted_vote_of_word_pairs(docs):
+    """Brute force: one pair of words at a time, one bit at a time."""
+    m64 = (1 << 64) - 1
+
+    def mix(a, b, p, q):
+        x = (a * p + (b ^ (b >> 29)) * q) & m64
+        x = ((x ^ (x >> 32)) * p) & m64
+        x = ((x ^ (x >> 29)) * q) & m64
+        return x ^ (x >> 32)
+
+    got = by_id(fingerprints.fingerprint(docs))
+    for i, t in TEXTS.items():
+        h = [(xxhash.xxh64_intdigest(w.encode(), 1) & ~0x3F | min(len(w.encode()), 63)) for w in words(t)]
+        pairs = list(zip(h, h[1:])) or [(v, 0) for v in h]
+        want = ""
+        for p, q in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
+            votes = [0] * 64
+            for a, b in pairs:
+                x, weight = mix(a, b, p, q), (a & 63) + (b & 63)
+                for bit in range(64):
+                    votes[bit] += weight if x >> bit & 1 else -weight
+            want += f"{sum(1 << bit for bit in range(64) if votes[bit] > 0):016x}"
+        assert got[i]["fingerprint"] == want
+
+
 def test_op2_round_trip_equals_the_library(docs, odd):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = by_id(bpe.round_trip(docs))
@@ -125,6 +167,64 @@ def test_op4_rules_and_verdicts(spark):
     assert {r["verdict"] for r in only} == {"block"}
 
 
+def test_op4_columns_equal_sql_and_odd_rows(spark):
+    import duckdb
+
+    from hoplattice.llm import queries
+
+    rows = [(k % 90, u) for k, u in enumerate(f"http{'s' if k % 2 else ''}://{h}.{d}/{p}/{k % 11}?q={k}" for k in range(200) for h, d, p in [(f"h{k % 7}", ["example.com", "example.net", "b.org", "c.io"][k % 4], ["en", "de", "es"][k % 3])])]
+    rows += [(1, None), (None, "http://a.com/en/1"), (1, "http://a.com/en/1"), (1, "http://a.com/en/1"), (5, "http://" + "x" * 1_000_000 + ".com/en/" + "y" * 1_000_000), (6, ""), (7, "http://É.Com/en/7")]
+    pages = spark.createDataFrame([(*r, "x", "y", 0.0) for r in rows], "page_id long, url string, host string, suffix string, score double")
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"]) for r in url_filter.judge(pages, queries.URL_RULES).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", rows)
+    parts = "select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages"
+    upper, lower = url_filter._UPPER, url_filter._LOWER
+    parsed = f"select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{upper}', '{lower}') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from ({parts})"
+    fits = " ".join(
+        f"when (host = '{r.split('/')[0]}' or ends_with(host, '.{r.split('/')[0]}')) and starts_with(path, '/{r.split('/', 1)[1]}') then '{r}'"
+        for _, r in sorted(queries.URL_RULES, key=lambda r: -len(r[1]))
+    )
+    want = sorted(con.execute(f"select page_id, host, path, case {fits} end from ({parsed})").fetchall(), key=repr)
+    assert got == want
+
+
+def test_op4_trees_judge_unknown_suffixes_by_their_other_features(spark):
+    rng = np.random.default_rng(23)
+    plain = lambda: "".join(rng.choice(list("abdeimnorst"), 8))
+    digits = lambda: "".join(rng.choice(list("0123456789"), 12))
+    urls = [(k, f"http://{plain()}{k}.bad.com/{digits()}/{digits()}?a={digits()}&b=1") for k in range(300)] + [(1000 + k, f"https://{plain()}{k}.good.org/{plain()}") for k in range(300)]
+    new = [(2000 + k, f"http://{plain()}{k}.else.net/{digits()}/{digits()}?a={digits()}&b=1") for k in range(40)] + [(3000 + k, f"https://{plain()}{k}.other.io/{plain()}") for k in range(40)]
+    rules = [("block", "bad.com/"), ("allow", "good.org/")]
+    got = by_id(url_filter.judge(spark.createDataFrame(urls + new, "page_id long, url string"), rules), "page_id")
+    assert np.mean([got[2000 + k]["verdict"] == "block" for k in range(40)]) > 0.9 and np.mean([got[3000 + k]["verdict"] == "allow" for k in range(40)]) > 0.9
+    held = url_filter.held_out(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()
+    assert len(held) > 50 and np.mean([(r["score"] >= 0.5) == (r["label"] == 1) for r in held]) > 0.95
+
+
+def test_op5_learns_what_only_pairs_tell(spark):
+    """Toxic is exactly one of two terms: neither differs by itself, and no additive weights tell it."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(rng.permutation([*rng.choice(WORDS, 12), *(["blue"] if a else []), *(["moon"] if b else [])])), 0.5, "x"))
+        labels.append((i, int(a != b)))
+    docs = spark.createDataFrame([*rows, (7, "blue", 0.1, "x"), (8, "y" * 2_000_000 + " blue", 0.1, "x"), (8, "z", 0.1, "x")], "doc_id long, text string, score double, held_out string")
+    scored = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert len(scored) == 4003
+    held = [r for r in scored[:4000] if r["held_out"]]
+    truth = dict(labels)
+    assert np.mean([(r["score"] > 0.5) == (truth[r["doc_id"]] == 1) for r in held]) > 0.95
+
+
+def test_op5_held_out_is_the_remainder_of_the_checksum(spark):
+    ids = [*range(500), -3, 10**15]
+    got = {r["doc_id"]: r["held_out"] for r in toxicity.score(spark.createDataFrame([(i, "a") for i in ids], "doc_id long, text string"), toxicity.train([], np.zeros(0))).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in ids}
+
+
 def test_op5_learns_pairs_and_holds_out(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []
@@ -413,7 +513,9 @@ def test_op9_automaton_equals_greedy_search(spark, odd):
     table = spark.createDataFrame([(1, "ab ab c\nz"), (2, ""), (3, None)], "doc_id long, text string")
     got = by_id(token_counts.count_tokens(table, ["a", "b", "ab</w>", "c"]))
     assert [(got[k]["n_tokens"], got[k]["n_words"], got[k]["n_unknown"]) for k in (1, 2, 3)] == [(4, 4, 1), (0, 0, 0), (0, 0, 0)]
-    assert token_counts.count_tokens(odd).count() == 5
+    assert token_counts.count_tokens(odd).count() == 5 and token_counts.count_tokens(odd.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "ab" * 1_000_000, 0, 1), (1, "ab " * 500_000, 0, 1), (1, "ab " * 500_000, 0, 1)], "doc_id long, text string, n_tokens int, id int")
+    assert sorted(r["n_tokens"] for r in token_counts.count_tokens(long, ["a", "b", "ab", "ab</w>"]).collect()) == [500_000, 500_000, 1_000_000]
 
 
 def test_op10_rules_stay_and_text_is_masked(spark, docs, odd):
@@ -450,6 +552,50 @@ def test_op10_network_learns_the_look_of_keys():
     assert (p[np.array(label) > 0] >= net.threshold).mean() > 0.9 and (p[np.array(label) == 0] >= net.threshold).mean() < 0.02
 
 
+def test_op10_gradients_of_the_network():
+    rng = np.random.default_rng(19)
+    net = secrets.CharCNN(rng.normal(0, 0.5, (128, 3)), rng.normal(0, 0.5, (5, 3, 4)), rng.normal(0, 0.1, 4), rng.normal(0, 0.5, 4), 0.2)
+    x, y, weight = rng.integers(0, 128, (6, 30)), rng.integers(0, 2, 6).astype(float), rng.random(6) + 0.5
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.logits(x)))
+        return float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+    for name, g in zip(("embedding", "kernel", "offset", "output"), net.gradients(x, y, weight), strict=False):
+        value = getattr(net, name)
+        for at in [np.unravel_index(np.abs(g).argmax(), g.shape), tuple(rng.integers(0, k) for k in g.shape)]:
+            kept, step = value[at], 1e-6
+            value[at] = kept + step
+            up = loss()
+            value[at] = kept - step
+            down = loss()
+            value[at] = kept
+            assert (up - down) / 2 / step == pytest.approx(float(g[at]), abs=1e-6)
+    bias = net.bias
+    net.bias = bias + 1e-6
+    up = loss()
+    net.bias = bias - 1e-6
+    assert (up - loss()) / 2e-6 == pytest.approx(float(net.gradients(x, y, weight)[4][0]), abs=1e-6)
+
+
+def test_op10_parts_keep_documents_apart_where_they_can():
+    label = np.array([1.0, 1, 1, 0, 0, 0, 1])
+    held = np.array([False, True, False, True, False, False, True])
+    fitted, calibration = secrets._parts(label, held)
+    assert fitted.tolist() == [0, 2, 4, 5] and calibration.tolist() == [1, 3, 6]
+    for nowhere in (held & (label == 0), held | (label == 1)):
+        fitted, calibration = secrets._parts(label, nowhere)
+        assert (label[fitted] > 0).any() and (label[calibration] > 0).any()
+
+
+def test_op10_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcdef{k:06d} order-{k:012d}x" for k in range(60_000))
+    net = secrets.CharCNN(np.zeros((128, 2)), np.zeros((5, 2, 2)), np.zeros(2), np.zeros(2), 1.0, threshold=0.5)
+    docs = spark.createDataFrame([(1, text, 3, "s"), (1, "", 0, "s")], "doc_id long, text string, spans int, kind string")
+    got = sorted(secrets.scan(docs, net).collect(), key=lambda r: r["n_assign"])
+    assert got[1]["n_assign"] == 60_000 and got[1]["spans"].count("cnn:") == 60_000 and got[0]["spans"] == ""
+
+
 def test_op10_threshold_keeps_the_recall_on_hard_candidates():
     rng = np.random.default_rng(11)
     cores = ["".join(rng.choice(list("0123456789abcdef"), 16)) for _ in range(1500)]
@@ -487,3 +633,19 @@ def test_pipeline_stages_follow_their_contract(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "packing"]
     assert counts[0] >= counts[1] >= counts[2] == counts[3] > 0
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == counts[3]
+
+
+def test_pipeline_stages_on_empty_tables_and_odd_rows(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    full = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = prose(120_000)
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 1), (1, "", "en", "s", 0), (2, "a b c", None, None, 5), (2, "a b c", None, None, 5), (3, long, "en", "s", len(long)), (4, long + " x", "en", "s", None), (None, "alone here", "en", "s", 3)]
+    odd = spark.createDataFrame(rows, full.schema)
+    for docs, sizes in ((odd, [8, 4, 4]), (full.limit(0), [0, 0, 0])):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, sf_dir).cache()
+            if k < 3:
+                assert docs.columns == full.columns and docs.count() == sizes[k]
+        assert docs.count() == 0 if not sizes[0] else docs.agg(F.sum("length")).first()[0] > 120_000

@@ -17,9 +17,11 @@ the number of fingerprints, so shards stay small at every size.
 
 For a similarity, fingerprints only choose candidates: a pair links if the exact
 Jaccard similarity of its distinct shingles reaches it. All pairs of a group of near
-copies are too many to compare, so candidates come in two rounds: a spanning forest
-of each shard, nearest first; then every pair whose ends the links found so far
-don't connect. No candidate that could join two groups stays unchecked.
+copies are too many to write, so candidates come in two rounds: the pairs of a
+spanning forest of each shard, nearest first; then, of each shard, the rows that the
+links found so far leave apart from a candidate travel with their shingle sets, and
+their pairs are compared where they meet. No candidate that could join two groups
+stays unchecked, and what is written grows with the nodes.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; in ``near_duplicates`` rows with a null id take no part in groups and have a
@@ -46,8 +48,6 @@ from hoplattice.llm.components import components
 #: Standard deviations of the differing bits, beyond what a similarity lets expect, within which a pair is a candidate.
 DEVIATIONS = 2.0
 _ROWS = 64
-_FLUSH = 100_000
-_HELD = 4_000_000  # words of 8 bytes that a worker remembers of texts and their shingles
 _EPSILON = 1e-9  # similarities are quotients of whole numbers
 
 
@@ -257,40 +257,29 @@ def links(distinct: DataFrame, tables: list[np.ndarray], radius: int, shard_rows
     return map_arrow(_dealt(distinct.select("node", "fp"), tables, shard_rows), "a long, b long", rows).distinct()
 
 
-def _shard_candidates(left: list[tuple], right: list[tuple] | None, radius: int, similarity: float, spanning: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes within the radius whose sizes allow the similarity and whose labels differ; ``spanning`` leaves a forest of them.
+def _near_pairs(left: list[tuple], right: list[tuple] | None, radius: int, similarity: float, earlier: list[int]) -> Iterator[tuple[tuple, tuple]]:
+    """Pairs of rows ``(node, fp, size, label, ...)`` within the radius whose sizes allow the similarity and whose labels differ, each row's nearest first.
 
-    Rows are ``(node, fp, size, label)``.
+    Pairs that agree on all bits of one of the masks ``earlier`` are left to another shard.
     """
-    tree, root, members = BKTree(), {}, {}
+    tree, members = BKTree(), {}
 
-    def top(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    def matches(row: tuple) -> Iterator[tuple[int, int]]:
-        node, fp, size, label = row
-        value = int.from_bytes(fp)
+    def matches(row: tuple) -> Iterator[tuple[tuple, tuple]]:
+        value, size, label = int.from_bytes(row[1]), row[2], row[3]
         for near in sorted(tree.within(value, radius), key=lambda v: ((v ^ value).bit_count(), v)):
-            for other, other_size, other_label in members[near]:
-                if other == node or other_label == label or min(size, other_size) < similarity * max(size, other_size) - _EPSILON:
-                    continue
-                if spanning:
-                    a, b = top(node), top(other)
-                    if a == b:
-                        continue
-                    root[max(a, b)] = min(a, b)
-                yield min(node, other), max(node, other)
+            different = near ^ value
+            if any(not different & mask for mask in earlier):
+                continue
+            for other in members[near]:
+                if other[0] != row[0] and other[3] != label and min(size, other[2]) >= similarity * max(size, other[2]) - _EPSILON:
+                    yield row, other
 
     def add(row: tuple) -> None:
-        node, fp, size, label = row
-        value = int.from_bytes(fp)
+        value = int.from_bytes(row[1])
         if value not in members:
             members[value] = []
             tree.add(value)
-        members[value].append((node, size, label))
+        members[value].append(row)
 
     for row in left:
         if right is None:
@@ -300,52 +289,115 @@ def _shard_candidates(left: list[tuple], right: list[tuple] | None, radius: int,
         yield from matches(row)
 
 
-def candidates(distinct: DataFrame, tables: list[np.ndarray], radius: int, similarity: float, spanning: bool, shard_rows: int = 2000) -> DataFrame:
-    """Distinct pairs ``(a, b)``, ``a < b``, of the nodes of ``(node, fp, size, label)`` that may have the similarity and differ in label."""
+class _Roots(dict):
+    """A forest over labels: ``join`` tells whether two were apart."""
+
+    def top(self, v: int) -> int:
+        while (above := self.setdefault(v, v)) != v:
+            self[v] = self.setdefault(above, above)
+            v = self[v]
+        return v
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def spanning_candidates(distinct: DataFrame, tables: list[np.ndarray], radius: int, similarity: float, shard_rows: int = 2000) -> DataFrame:
+    """Distinct pairs ``(a, b)``, ``a < b``, of the nodes of ``(node, fp, size, label)`` that may have the similarity: a spanning forest of each shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        found: list[tuple[int, int]] = []
         for left, right in _by_unit(batches, ("node", "fp", "size", "label")):
-            for pair in _shard_candidates(left, right, radius, similarity, spanning):
-                found.append(pair)
-                if len(found) >= _FLUSH:
-                    yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
-                    found = []
-        yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+            roots = _Roots()
+            found = [sorted((x[0], y[0])) for x, y in _near_pairs(left, right, radius, similarity, []) if roots.join(x[0], y[0])]
+            if found:
+                yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
     return map_arrow(_dealt(distinct.select("node", "fp", "size", "label"), tables, shard_rows), "a long, b long", rows).distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` ``(a, b)`` whose texts ``(node, text)`` have that Jaccard similarity of distinct shingles, or more."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+def unsettled(distinct: DataFrame, tables: list[np.ndarray], radius: int, similarity: float, shard_rows: int = 1000) -> DataFrame:
+    """The rows of each work unit whose labels differ from those of a candidate in it: ``(shard, low, high, first, node, fp, size, label)``.
+
+    A pair counts in the first table alone that holds both in one shard. Rows are
+    written, and not their pairs, so they grow with the nodes.
+    """
+    masks = _masks(tables, distinct)
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        known: dict[str, np.ndarray] = {}  # many pairs of a group of near copies share their texts
-        held = 0
-
-        def shingles(text: str) -> np.ndarray:
-            nonlocal held
-            if text not in known:
-                if held > _HELD:
-                    known.clear()
-                    held = 0
-                known[text] = shingle_set(text, words)
-                held += len(known[text]) + len(text) // 8
-            return known[text]
+        for left, right in _by_unit(batches, ("node", "fp", "size", "label", "shard", "low", "high", "first")):
+            table = left[0][4] >> 48 if left else 0
+            open_rows = {row[0]: row for pair in _near_pairs(left, right, radius, similarity, masks[:table]) for row in pair}
+            if open_rows:
+                columns = list(zip(*open_rows.values(), strict=True))
+                yield dict(zip(("node", "fp", "size", "label", "shard", "low", "high", "first"), columns, strict=True))
 
-        for batch in batches:
-            out: dict[str, list[int]] = {"a": [], "b": []}
-            for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                left, right = shingles(text_a), shingles(text_b)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                if common >= similarity * (len(left) + len(right) - common) - _EPSILON:
-                    out["a"].append(a)
-                    out["b"].append(b)
+    dealt = _dealt(distinct.select("node", "fp", "size", "label"), tables, shard_rows)
+    return map_arrow(dealt, "node long, fp binary, size long, label long, shard long, low int, high int, first boolean", rows)
+
+
+def _masks(tables: list[np.ndarray], distinct: DataFrame) -> list[int]:
+    """The bits of each table as they lie in a fingerprint's number."""
+    row = distinct.select("fp").first()
+    bits = 8 * len(row[0]) if row else 0
+    return [sum(1 << (bits - 1 - int(at)) for at in places) for places in tables] if bits else []
+
+
+def settled(members: DataFrame, sets: DataFrame, tables: list[np.ndarray], radius: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` among the rows of ``unsettled`` by their exact similarity; of a unit's, those that join what is apart.
+
+    The shingle sets ``(node, shingles)`` travel to the units, once for each unit of a node.
+    """
+    masks = _masks(tables, members)
+    units = ("shard", "low", "high")
+    dealt = members.join(sets, "node").repartition(shuffle_partitions(members.sparkSession), *units).sortWithinPartitions(*units, "node")
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for left, right in _by_unit(batches, ("node", "fp", "size", "label", "shingles", "shard")):
+            roots, out = _Roots(), {"a": [], "b": []}
+            table = (left or right)[0][5] >> 48
+            for x, y in _near_pairs(left, right, radius, similarity, masks[:table]):
+                if roots.top(x[3]) != roots.top(y[3]) and _alike(x[4], y[4], similarity):
+                    roots.join(x[3], y[3])
+                    out["a"].append(x[0])
+                    out["b"].append(y[0])
             yield out
 
-    return map_arrow(both.select("a", "b", "text_a", "text_b"), "a long, b long", rows).distinct()
+    return map_arrow(dealt, "a long, b long", rows).distinct()
+
+
+def _alike(left: bytes, right: bytes, similarity: float) -> bool:
+    """Whether two sets of shingle hashes have that Jaccard similarity, or more."""
+    a, b = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - _EPSILON
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, shingles)`` of ``(node, text)``: the distinct shingle hashes, ascending, 8 bytes each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for k in range(0, batch.num_rows, _ROWS):
+                yield {"node": batch.column("node").slice(k, _ROWS), "shingles": [shingle_set(t, words).astype("<u8").tobytes() for t in batch.column("text").slice(k, _ROWS).to_pylist()]}
+
+    return map_arrow(texts, "node long, shingles binary", rows)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` ``(a, b)`` whose shingle sets have that Jaccard similarity, or more."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            keep = [_alike(x, y, similarity) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield {"a": kept.column("a"), "b": kept.column("b")}
+
+    return map_arrow(both.select("a", "b", "left", "right"), "a long, b long", rows)
 
 
 def _first_row(doc_id: str, text_key: str):
@@ -365,17 +417,18 @@ def _similar_kept(marked: DataFrame, docs: DataFrame, words: int, similarity: fl
     distinct = stored(kinds.select(F.monotonically_increasing_id().alias("node"), "fp", "size", "first"), "simhash-distinct")
     labelled = distinct.select("node", "fp", "size", F.col("node").alias("label"))
     tables = sampled_tables(bits, similarity, distinct.count())
-    first = stored(candidates(labelled, tables, radius, similarity, True, shard_rows), "simhash-candidates")
+    first = stored(spanning_candidates(labelled, tables, radius, similarity, shard_rows), "simhash-candidates")
     met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     wanted = distinct.join(met, "node").select("node", "first.*")
     keyed = docs.select(_first_row("doc_id", "text_key").alias("first"), "text").select("first.*", "text")
-    texts = stored(keyed.join(wanted, ["absent", "id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "simhash-texts")
-    found = stored(similar(first, texts, words, similarity), "simhash-links")
+    texts = keyed.join(wanted, ["absent", "id", "text_key"]).select("node", "text")
+    sets = stored(shingle_sets(texts, words).dropDuplicates(["node"]), "simhash-sets")
+    found = stored(similar(first, sets, similarity), "simhash-links")
     groups = components(found)
     # a node without any candidate in the first round has none in the second
     apart = distinct.select("node", "fp", "size").join(met, "node").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    rest = candidates(stored(apart.drop("root"), "simhash-apart"), tables, radius, similarity, False, shard_rows).join(first, ["a", "b"], "left_anti")
-    more = stored(similar(stored(rest, "simhash-candidates"), texts, words, similarity), "simhash-links")
+    members = stored(unsettled(stored(apart.drop("root"), "simhash-apart"), tables, radius, similarity, max(2, shard_rows // 2)), "simhash-unsettled")
+    more = stored(settled(members, sets, tables, radius, similarity), "simhash-links")
     if not more.isEmpty():
         groups = components(found.union(more))
     return distinct.join(groups, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.*")

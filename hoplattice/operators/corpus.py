@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hoplattice.functions.text import collapsed, content_id, paragraphs, salted_order_key
-from hoplattice.sources.tables import small
+from hoplattice.sources.tables import small, stored
 
 
 def pooled(units: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
@@ -82,15 +88,59 @@ def excluded(records: DataFrame, unresolved: DataFrame, mapped: DataFrame) -> Da
     return out.join(mapped.select("unit_id").distinct(), "unit_id", "left_anti").drop("_t")
 
 
+#: Characters of a passage that are hashed to find it.
+ANCHOR = 24
+#: Needles that are broadcast together.
+NEEDLES = 4_096
+
+
+def holders(needles: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(needle_id, needle, doc_id)``: the texts that hold each needle ``(needle_id, needle)``, as they stand.
+
+    Needles are keyed by a hash of their first ``ANCHOR`` characters. Each worker finds
+    the anchors of a block of needles in its texts with one pass of an automaton, and
+    compares the whole needle only where its anchor stands, so no text meets needles
+    that it doesn't share a beginning with. Empty and null needles are nowhere.
+    """
+    spark = docs.sparkSession
+    asked = needles.where(F.length("needle") > 0).select("needle_id", "needle").toLocalIterator()
+    schema = f"needle_id {dict(needles.dtypes)['needle_id']}, needle string, {id_column} {dict(docs.dtypes)[id_column]}"
+    out = spark.createDataFrame([], schema)
+    while block := list(islice(asked, NEEDLES)):
+        by_anchor: dict[str, list[tuple]] = {}
+        for r in block:
+            by_anchor.setdefault(r["needle"][:ANCHOR], []).append((r["needle_id"], r["needle"]))
+        shared = spark.sparkContext.broadcast(by_anchor)
+
+        def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            finder = ahocorasick.Automaton()
+            for anchor in shared.value:
+                finder.add_word(anchor, anchor)
+            finder.make_automaton()
+            for batch in batches:
+                rows: list[tuple] = []
+                for own, text in zip(batch.column(id_column).to_pylist(), batch.column(text_column).to_pylist(), strict=True):
+                    near = {anchor for _, anchor in finder.iter(text)} if text else ()
+                    rows += [(i, needle, own) for anchor in near for i, needle in shared.value[anchor] if needle in text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow
+                )
+
+        arrow = to_arrow_schema(out.schema)
+        out = out.unionByName(docs.select(id_column, text_column).mapInArrow(found, out.schema))
+    return out
+
+
 def located_facts(facts: DataFrame, docs: DataFrame, id_column: str = "doc_id", body_column: str = "text") -> DataFrame:
     """``(id, fact_id, start, position, touched)``: where each fact first stands in each body that holds it.
 
-    ``facts(fact_id, fact)`` is a query set, broadcast behind a check of its size.
+    ``facts(fact_id, fact)`` is a query set, broadcast in blocks.
     ``position`` is the paragraph that holds the fact's first character that isn't
     white space, ``touched`` the paragraphs that its span meets.
     """
-    asked = small(facts.where(F.trim("fact") != ""))
-    found = docs.select(F.col(id_column).alias("id"), F.col(body_column).alias("body")).join(asked, F.expr("contains(body, fact)"))
+    asked = facts.where(F.trim("fact") != "").select(F.col("fact_id").alias("needle_id"), F.col("fact").alias("needle"))
+    matched = stored(holders(asked, docs, id_column, body_column).select(F.col(id_column).alias("id"), F.col("needle_id").alias("fact_id"), F.col("needle").alias("fact")), "facts")
+    found = docs.select(F.col(id_column).alias("id"), F.col(body_column).alias("body")).join(matched, "id")
     lead = F.length("fact") - F.length(F.ltrim("fact"))
     spans = found.select("id", "fact_id", (F.instr("body", F.col("fact")) - 1).alias("start"), F.length("fact").alias("n"), lead.alias("lead"))
     held = docs.join(spans.select(F.col("id").alias(id_column)).distinct(), id_column, "left_semi")

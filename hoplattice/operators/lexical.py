@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hoplattice.operators.rank import rounded, top_k
-from hoplattice.sources.tables import small, stored
+from hoplattice.operators.rank import top_k
+from hoplattice.sources.tables import spread, stored
+
+#: Queries whose terms are broadcast, and scored side by side.
+BLOCK = 1_024
+_UNITS = 1_024
 
 # The ranking's constants and its English stop words.
 K1, B = 1.5, 0.75
@@ -21,34 +32,106 @@ def terms(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
-def postings(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(unit_id, term, tf, dl)`` of the wanted terms only; ``wanted`` is a query set's distinct terms."""
-    words = docs.select(F.col(id_column).alias("unit_id"), terms(F.col(text_column)).alias("words"))
-    exploded = words.select("unit_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return exploded.join(small(wanted), "term", "left_semi").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, wanted: dict[str, int], id_column: str, text_column: str) -> DataFrame:
+    """``(unit_id, dl, term, tf)``: each unit's wanted terms, by their numbers, and how often it holds them; one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    words = spread(docs.select(F.col(id_column).cast("long").alias("unit_id"), F.col(text_column).alias("text"))).select("unit_id", terms(F.col("text")).alias("words"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
+        for batch in batches:
+            words = batch.column("words").to_pylist()
+            held = [Counter(number[w] for w in ws or () if w in number) for ws in words]
+            columns = [
+                batch.column("unit_id"), pa.array([len(ws or ()) for ws in words], pa.int32()),
+                pa.array([list(h.keys()) for h in held], pa.list_(pa.int32())), pa.array([list(h.values()) for h in held], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["unit_id", "dl", "term", "tf"])
+
+    return words.mapInArrow(counted, "unit_id long, dl int, term array<int>, tf array<int>")
+
+
+def _best(found: DataFrame, qids: list[int], rates: np.ndarray, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """``(qid, unit_id, score)``: of each task's units the ``k`` best of each query, and what ties with the last.
+
+    A unit's score is the sum over its terms of ``weight(tf, dl)`` times the term's
+    row of ``rates``; scores of 0 or less are left out.
+    """
+    shared = found.sparkSession.sparkContext.broadcast((np.array(qids, np.int64), rates))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, rate = shared.value
+        held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def cut() -> tuple[np.ndarray, ...]:
+            query, unit, score = held
+            order = np.lexsort((unit, -score, query))
+            query, unit, score = query[order], unit[order], score[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            keep = place < k
+            return query[keep], unit[keep], score[keep]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, _UNITS):
+                part = batch.slice(at, _UNITS)
+                units = np.asarray(part.column("unit_id"))
+                n = np.asarray(part.column("term").value_lengths())
+                owner = np.repeat(np.arange(len(units)), n)
+                term, tf = (np.asarray(part.column(c).flatten()) for c in ("term", "tf"))
+                values = weight(tf.astype(float), np.asarray(part.column("dl"), float)[owner])
+                total = np.zeros((len(units), len(asked)))
+                some = np.flatnonzero(n)
+                if len(some):
+                    for j in range(0, len(asked), 64):  # a posting's row of 64 queries at a time
+                        pulled = values[:, None] * rate[term, j : j + 64]
+                        total[some, j : j + 64] = np.add.reduceat(pulled, (np.cumsum(n) - n)[some], axis=0)
+                score = np.round(total, 6)
+                unit, query = np.nonzero(score > 0)
+                new = (asked[query], units[unit], score[unit, query])
+                held = tuple(np.concatenate(pair) for pair in zip(held, new, strict=True))
+                if len(held[0]) > 4 * k * len(asked):
+                    held = cut()
+        held = cut()
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["qid", "unit_id", "score"])
+
+    return found.mapInArrow(best, "qid long, unit_id long, score double")
+
+
+def _ranked(queries: DataFrame, docs: DataFrame, k: int, id_column: str, text_column: str, rate: Callable, weight: Callable) -> DataFrame:
+    """Top ``k`` of each query, block by block; ``rate(qtf, df, n)`` of a term in a query, ``weight(tf, dl, mean length)`` of a posting."""
+    spark = docs.sparkSession
+    asked = queries.select("qid", terms(F.col("query")).alias("words")).toLocalIterator()
+    out = spark.createDataFrame([], "qid long, unit_id long, score double")
+    while block := list(islice(asked, BLOCK)):
+        counts = [Counter(r["words"] or ()) for r in block]
+        wanted = {w: number for number, w in enumerate(sorted(set().union(*counts)))}
+        # both the frequencies and the scores read the postings, which are made once
+        found = stored(postings(docs, wanted, id_column, text_column), "postings")
+        total = found.agg(F.count("*").alias("n"), F.avg("dl").alias("length")).first()
+        # one row a wanted term
+        df = {r["t"]: r["df"] for r in found.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()}
+        rates = np.zeros((len(wanted), len(block)))
+        for j, count in enumerate(counts):
+            for word, qtf in count.items():
+                if wanted[word] in df:
+                    rates[wanted[word], j] = rate(qtf, df[wanted[word]], total["n"])
+        mean = total["length"] or 1.0
+        out = out.unionByName(_best(found, [r["qid"] for r in block], rates, lambda tf, dl, mean=mean: weight(tf, dl, mean), k))
+    return top_k(out, k)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Top ``k`` of each query ``(qid, query)``: only positive scores; each occurrence in the query counts."""
-    asked = queries.select("qid", F.explode(terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    size = F.size(terms(F.col(text_column)))
-    total = docs.select(size.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    # one pass over the documents makes the postings that both the frequencies and the scores read
-    found = stored(postings(docs, asked.select("term").distinct(), id_column, text_column), "postings")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rates = asked.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("rate"))
-    part = F.col("rate") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(total["avgdl"] or 1.0)))
-    scored = found.join(small(rates), "term").groupBy("qid", "unit_id").agg(rounded(F.sum(part)).alias("score"))
-    return top_k(scored.where("score > 0"), k)
+    """Top ``k`` of each query ``(qid, query)``: only positive scores; each occurrence in the query counts.
+
+    Query terms are broadcast in blocks of queries; documents are read once a block,
+    scored where they are, and only each task's best are shuffled.
+    """
+    rate = lambda qtf, df, n: qtf * math.log(1 + (n - df + 0.5) / (df + 0.5))
+    weight = lambda tf, dl, mean: tf / (tf + K1 * (1 - B + B * dl / mean))
+    return _ranked(queries, docs, k, id_column, text_column, rate, weight)
 
 
 def overlap(queries: DataFrame, docs: DataFrame, k: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Top ``k`` by the rarity of shared distinct terms, ``sum log1p(N / (1 + df))``."""
-    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    n = docs.count()
-    found = stored(postings(docs, asked.select("term").distinct(), id_column, text_column), "postings")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weight = asked.join(df, "term").select("qid", "term", F.log1p(F.lit(n) / (1 + F.col("df"))).cast("float").cast("double").alias("w"))
-    scored = found.join(small(weight), "term").groupBy("qid", "unit_id").agg(rounded(F.sum("w")).alias("score"))
-    return top_k(scored, k)
+    rate = lambda qtf, df, n: float(np.float32(math.log1p(n / (1 + df))))
+    return _ranked(queries, docs, k, id_column, text_column, rate, lambda tf, dl, mean: np.ones_like(tf))

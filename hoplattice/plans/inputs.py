@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplattice.operators import fusion, graph, lexical, metrics, pack, vector
+from hoplattice.operators import corpus, fusion, graph, lexical, metrics, pack, vector
 from hoplattice.operators.rank import top_k
 from hoplattice.sources.tables import small, stored, table
 
@@ -19,10 +19,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the passage; the passages are a query set, broadcast behind a check of its size."""
-    docs = table(spark, sf_dir, "documents")
-    asked = small(questions(spark, sf_dir), 10_000)
-    return docs.select(F.col("doc_id").alias("unit_id"), "text").join(asked, F.expr("contains(text, query)")).select("qid", "unit_id").distinct()
+    """Documents that hold the passage, found by the passages' first words and then compared; stored, as many steps read it."""
+    asked = questions(spark, sf_dir).withColumnRenamed("query", "needle")
+    held = corpus.holders(asked.withColumnRenamed("qid", "needle_id"), table(spark, sf_dir, "documents"))
+    return stored(held.select(F.col("needle_id").alias("qid"), F.col("doc_id").alias("unit_id")).distinct(), "qrels")
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +96,5 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.dense_topk(units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("qid"), "v"), units)
 
 
-def dense_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All other vectors of the query's label."""
-    units = vectors(spark, sf_dir)
-    asked = units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("qid"), "label")
-    return units.join(small(asked), "label").where("qid <> unit_id").select("qid", "unit_id")
-
-
 def first_of(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits.select("qid", "unit_id", "score"), k)

@@ -93,7 +93,7 @@ SELECT points.point, CAST(a AS DOUBLE) AS w_bm25, CAST(b AS DOUBLE) AS w_overlap
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = grids.weight_table(spark, inputs.COMPONENTS)
     fused = fusion.grid(inputs.lists(spark, sf_dir), points, inputs.COMPONENTS, k=10)
-    found = fused.join(F.broadcast(inputs.qrels(spark, sf_dir)), ["qid", "unit_id"]).groupBy("point").agg(F.count("*").alias("found"))
+    found = fused.join(inputs.qrels(spark, sf_dir), ["qid", "unit_id"]).groupBy("point").agg(F.count("*").alias("found"))
     return points.join(found, "point", "left").select("point", "w_bm25", "w_overlap", "w_hop", F.coalesce("found", F.lit(0)).alias("found"))
 
 
@@ -292,8 +292,13 @@ def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m4_dense_label_recall", f"WITH {sql.DENSE}, gold AS (SELECT q.vec_id AS qid, u.vec_id AS unit_id FROM embeddings q JOIN embeddings u ON q.vec_id % 100 = 0 AND q.label = u.label AND q.vec_id <> u.vec_id) SELECT qid, count(*) AS n_gold, count(*) FILTER (rank <= 10) AS found_10, count(rank) AS found_100 FROM gold LEFT JOIN dense USING (qid, unit_id) GROUP BY qid")
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = inputs.dense_gold(spark, sf_dir).join(inputs.dense(spark, sf_dir).select("qid", "unit_id", "rank"), ["qid", "unit_id"], "left")
-    return ranked.groupBy("qid").agg(F.count("*").alias("n_gold"), F.sum((F.coalesce("rank", F.lit(1000)) <= 10).cast("long")).alias("found_10"), F.count("rank").alias("found_100"))
+    """Gold is every other vector of the query's label: counted by label, and looked up in the lists, never paired."""
+    units = inputs.vectors(spark, sf_dir)
+    sizes = units.groupBy("label").agg((F.count("*") - 1).alias("n_gold"))
+    asked = units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("qid"), "label").join(sizes, "label")
+    own = inputs.dense(spark, sf_dir).join(units.select("unit_id", F.col("label").alias("own")), "unit_id").select("qid", "rank", "own")
+    hits = asked.join(own, (asked["qid"] == own["qid"]) & (asked["label"] == own["own"]), "left").select(asked["qid"], "n_gold", "rank")
+    return hits.groupBy("qid", "n_gold").agg(F.sum((F.coalesce("rank", F.lit(1000)) <= 10).cast("long")).alias("found_10"), F.count("rank").alias("found_100")).where("n_gold > 0")
 
 
 @query("h3_dense_neighbours", f"WITH {sql.DENSE}, first AS (SELECT qid, unit_id AS p1 FROM dense WHERE rank = 1), near AS (SELECT qid, u.vec_id AS unit_id, round(list_inner_product(CAST(p.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])), 6) AS score FROM first JOIN embeddings p ON p.vec_id = p1 JOIN embeddings u ON u.vec_id <> qid) SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) AS rank FROM near WHERE (qid, unit_id) NOT IN (SELECT qid, unit_id FROM dense WHERE rank <= 10) QUALIFY rank <= 100")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Sides up to this many rows are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 100_000
+#: And up to this many characters, written out as JSON.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions than there are (one small file); as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``limit`` rows or fewer; as it is otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` with a broadcast hint if it has ``limit`` rows and ``BROADCAST_BYTES`` or fewer; as it is otherwise."""
+    names = df.columns
+    size = F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)))) if names else F.lit(0)
+    found = df.limit(limit + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["rows"] <= limit and found["size"] <= BROADCAST_BYTES else df
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the folder that the cluster shares (``spark.checkpoint.dir``) and read it back.
 
     For what several later steps read: it is made once, plans stay short, and it
-    survives lost executors. Where no folder is set, one is made for the session.
+    survives lost executors. Where no folder is set, one is made for the session on
+    one machine; on a cluster, whose executors would not share it, that is an error.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/hoplattice/{label}-{uuid.uuid4().hex}"

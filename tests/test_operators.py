@@ -1,6 +1,7 @@
 """Worked examples and identities of the operators."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -152,14 +153,20 @@ def test_pool_and_reorder(spark):
 
 
 def test_statistics_of_published_examples(spark):
-    assert stats.exact_two_sided_p(317, 72) == pytest.approx(8.996e-38, rel=1e-3)
-    assert stats.exact_two_sided_p(0, 0) == 1.0 and stats.exact_two_sided_p(5, 5) == 1.0
-    assert stats.sign_test_p(56, 24) == pytest.approx(0.00022576, rel=1e-4)
+    one = lambda *values: [np.array([v]) for v in values]
+    assert stats.discordant_p(*one(317, 72))[0] == pytest.approx(8.996e-38, rel=1e-3)
+    assert stats.discordant_p(np.array([0, 5, 1, 9]), np.array([0, 5, 0, 1])).tolist() == pytest.approx([1, 1, 1, 22 / 1024])
+    assert stats.at_least_p(*one(56, 24))[0] == pytest.approx(0.00022576, rel=1e-4)
+    assert stats.at_least_p(np.array([0, 3, 0]), np.array([0, 0, 3])).tolist() == pytest.approx([1, 1 / 8, 1])
+    for flips, heads in ((1, 0), (10, 3), (11, 7), (2000, 900), (2000, 1100)):
+        want = Fraction(sum(math.comb(flips, k) for k in range(heads + 1)), 1 << flips)
+        assert stats.fair_coin_tail(flips, heads) == pytest.approx(float(want), rel=1e-9)
     # a cross-over trial on contact lenses: 44 pairs, one discordant
-    assert round(stats.score_statistic(0, 1, 44, -0.1), 3) == 1.709
-    assert round(stats.score_interval(0, 1, 44, 1.6448536)[0], 3) == -0.096
-    low, high = stats.score_interval(96, 60, 1400)
-    assert low < 36 / 1400 < high
+    assert round(stats.tango_z(*one(0, 1, 44), -0.1)[0], 3) == 1.709
+    assert round(stats.tango_limits(*one(0, 1, 44), 1.6448536)[0][0], 3) == -0.096
+    low, high = (x[0] for x in stats.tango_limits(*one(96, 60, 1400)))
+    assert low < 36 / 1400 < high and stats.tango_z(*one(96, 60, 1400), low)[0] == pytest.approx(stats.Z95, abs=1e-6)
+    assert stats.not_worse(96, 60, 1400, 0.05) and not stats.not_worse(60, 96, 1400, 0.01)
     table = spark.createDataFrame([(10, 30, 5, 55, 100)], "both long, only_a long, only_b long, neither long, n long")
     r = paired.compared(table).first()
     assert r["label"] == "supported" and r["low"] < r["difference"] < r["high"]
@@ -328,3 +335,34 @@ def test_concept_diagnostics(spark):
     units = spark.createDataFrame([(k, [1.0, 0.0]) for k in (1, 2, 3)], "unit_id long, v array<double>")
     assert rows(concepts.diagnostics(x, units, 4), "dead_atoms", "orphan_units", "active_max", "units_max") == [(2, 1, 2, 2)]
     assert concepts.null_coherence(units, size=3, draws=1) == (1.0, 0.0)
+
+
+def test_holders_finds_whole_passages_as_they_stand(spark):
+    needles = [(1, "ab"), (2, "abc"), (3, "x" * 24 + "yes"), (4, "x" * 24 + "no"), (5, ""), (6, None), (7, "é.*"), (8, "ab")]
+    docs = [(10, "xx abc ab"), (11, "x" * 30 + "yes"), (12, None), (13, ""), (14, "é.*" + "x" * 24 + "no"), (10, "abd")]
+    got = sorted((r["needle_id"], r["doc_id"]) for r in corpus.holders(spark.createDataFrame(needles, "needle_id long, needle string"), spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted((i, d) for i, n in needles for d, t in docs if n and t and n in t)
+
+
+def test_walk_in_blocks_equals_dense_arithmetic(spark, monkeypatch):
+    monkeypatch.setattr(walk, "BLOCK", 3)
+    monkeypatch.setattr(walk, "EDGES", 2)
+    rng = np.random.default_rng(2)
+    w = rng.integers(0, 4, (7, 9)).astype(float)
+    w[w.sum(1) == 0, 0], w[0, w.sum(0) == 0] = 1, 1
+    x = spark.createDataFrame([(u, n, float(w[u, n])) for u in range(7) for n in range(9) if w[u, n]], "unit_id long, node_id long, w double")
+    seeds = spark.createDataFrame([(q, int(u), 0.5) for q in range(4) for u in (q, q + 2)], "qid long, unit_id long, mass double")
+    got = {(r["qid"], r["unit_id"]): r["mass"] for r in walk.walk(seeds, x, 0.5, "symmetric").collect()}
+    rare = np.float32(np.log1p(7 / (1 + (w > 0).sum(0)))).astype(float)
+    p = w / np.sqrt(w.sum(1)[:, None] * w.sum(0)[None])
+    for q in range(4):
+        start = np.zeros(7)
+        start[[q, q + 2]] = 0.5
+        m = start
+        for _ in range(5):
+            s = p @ ((p.T @ m) * rare)
+            new = 0.5 * s / s.sum() + 0.5 * start
+            moved, m = np.abs(new - m).sum(), new
+            if moved < 1e-3:
+                break
+        assert [got.get((q, u), 0.0) for u in range(7)] == pytest.approx(m.tolist(), abs=1e-12)

@@ -76,7 +76,7 @@ def node_forms(text: pd.Series) -> pd.Series:
 
 def occurs(form: Column, text: Column) -> Column:
     """Whether the form stands in the text with no word character beside it."""
-    return text.rlike(F.concat(F.lit(r"(?U)(?<!\w)\Q"), form, F.lit(r"\E(?!\w)")))
+    return F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), form, F.lit(r"\E(?!\w)")))
 
 
 _MENTION = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoplattice.plans import corpora, graphs, retrieval
+from hoplattice.plans import corpora, further, graphs, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return retrieval.QUERIES | graphs.QUERIES | corpora.QUERIES
+    return retrieval.QUERIES | graphs.QUERIES | corpora.QUERIES | further.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.ORACLE_SQL | graphs.ORACLE_SQL | corpora.ORACLE_SQL
+    return retrieval.ORACLE_SQL | graphs.ORACLE_SQL | corpora.ORACLE_SQL | further.ORACLE_SQL

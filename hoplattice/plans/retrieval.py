@@ -265,12 +265,16 @@ def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.ceiling(rerank.pool(_systems(spark, sf_dir)), inputs.qrels(spark, sf_dir), out)
 
 
-@query("q8_rank_split", f"{_BOTH}, changed AS (SELECT qid, unit_id, CASE WHEN x THEN 'gained' ELSE 'lost' END AS change FROM (SELECT qid, unit_id, (qid, unit_id) IN (SELECT qid, unit_id FROM ctx WHERE budget = 512) AS x, (qid, unit_id) IN (SELECT qid, unit_id FROM ctx_b WHERE budget = 512) AS y FROM qrels) WHERE x <> y) SELECT change, CASE WHEN rank <= 10 THEN '1-10' WHEN rank <= 100 THEN '11-100' ELSE 'beyond-100' END AS rank_class, count(*) AS n FROM changed LEFT JOIN bm25 USING (qid, unit_id) GROUP BY ALL")
+_PACK_RRF = f"WITH RECURSIVE {sql.LISTS} {sql.GOLD} {sql.packed('ctx', 'rrf')} {sql.packed('ctx_b', 'bm25')}"
+
+
+@query("q8_rank_split", f"{_PACK_RRF}, changed AS (SELECT qid, unit_id, CASE WHEN x THEN 'gained' ELSE 'lost' END AS change FROM (SELECT qid, unit_id, (qid, unit_id) IN (SELECT qid, unit_id FROM ctx WHERE budget = 2048) AS x, (qid, unit_id) IN (SELECT qid, unit_id FROM ctx_b WHERE budget = 2048) AS y FROM qrels) WHERE x <> y) SELECT change, CASE WHEN rank <= 10 THEN '1-10' WHEN rank <= 100 THEN '11-100' ELSE 'beyond-100' END AS rank_class, count(*) AS n FROM changed LEFT JOIN bm25 USING (qid, unit_id) GROUP BY ALL")
 def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold that reciprocal ranks win or lose against BM25 at 2048 tokens, by where BM25 had it."""
     first = inputs.bm25(spark, sf_dir)
     gold = inputs.qrels(spark, sf_dir)
-    held = lambda hits, name: inputs.contexts(spark, sf_dir, hits).where("budget = 512").select("qid", "unit_id", F.lit(1).alias(name))
-    both = gold.join(held(_fused(spark, sf_dir), "x"), ["qid", "unit_id"], "left").join(held(first, "y"), ["qid", "unit_id"], "left").fillna(0, ["x", "y"])
+    held = lambda hits, name: inputs.contexts(spark, sf_dir, hits).where("budget = 2048").select("qid", "unit_id", F.lit(1).alias(name))
+    both = gold.join(held(fusion.rrf(inputs.lists(spark, sf_dir)), "x"), ["qid", "unit_id"], "left").join(held(first, "y"), ["qid", "unit_id"], "left").fillna(0, ["x", "y"])
     changed = both.where("x <> y").select("qid", "unit_id", F.when(F.col("x") == 1, "gained").otherwise("lost").alias("change"))
     return rerank.rank_split(changed, first)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from hoplattice.functions import stats, text
-from hoplattice.operators import concepts, corpus, fusion, graph, grids, metrics, pack, paired, rank, rerank, seeds, vector, verdicts, walk
+from hoplattice.operators import concepts, corpus, fusion, graph, grids, lexical, metrics, pack, paired, rank, rerank, seeds, summaries, vector, verdicts, walk
 from hoplattice.sources import files
 from hoplattice.streaming import frequency
 
@@ -366,3 +366,37 @@ def test_walk_in_blocks_equals_dense_arithmetic(spark, monkeypatch):
             if moved < 1e-3:
                 break
         assert [got.get((q, u), 0.0) for u in range(7)] == pytest.approx(m.tolist(), abs=1e-12)
+
+
+def test_summaries_refuse_what_is_missing(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "unit_id long, v array<double>")
+    assert summaries.checked_width(vectors.where("unit_id = 1"), 2).count() == 1
+    for bad in (vectors, spark.createDataFrame([(1, None)], "unit_id long, v array<double>")):
+        with pytest.raises(Exception, match="components"):
+            summaries.checked_width(bad, 2).collect()
+    cohorts = spark.createDataFrame([(1, "a"), (2, "a")], "qid long, cohort string")
+    outcomes = spark.createDataFrame([(1, 1, 0.5)], "qid long, success int, recall double")
+    with pytest.raises(Exception, match="no outcome"):
+        summaries.by_cohort(outcomes, cohorts).collect()
+    assert summaries.by_cohort(outcomes, cohorts.where("qid = 1")).first()["supported"] == 1
+
+
+def test_samples_share_no_row(spark):
+    rows_ = spark.range(100).withColumnRenamed("id", "doc_id")
+    got = summaries.disjoint_samples(rows_, "doc_id", {"a": 5, "b": 7}).collect()
+    assert len({r["doc_id"] for r in got}) == 12 and sum(r["sample"] == "a" for r in got) == 5
+    assert summaries.disjoint_samples(rows_.limit(0), "doc_id", {"a": 5}).count() == 0
+
+
+def test_bounded_occurrence_of_a_column(spark):
+    t = spark.createDataFrame([("st. louis", "in st. louis, mo"), ("cameron", "camerons"), ("a+b", "x a+b y"), (None, "a"), ("é", "été é")], "form string, text string")
+    assert [r[0] for r in t.select(text.occurs(t["form"], t["text"])).collect()] == [True, False, True, None, True]
+
+
+def test_bm25_in_blocks_equals_one_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 13}x" for j in range(1, 9))) for k in range(40)] + [(99, None), (98, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q}x w{q + 1}x w{q}x the") for q in range(7)] + [(8, None)], "qid long, query string")
+    whole = sorted(map(tuple, lexical.bm25(asked, docs, 5).collect()))
+    monkeypatch.setattr(lexical, "BLOCK", 2)
+    monkeypatch.setattr(lexical, "_UNITS", 3)
+    assert sorted(map(tuple, lexical.bm25(asked, docs, 5).collect())) == whole and whole

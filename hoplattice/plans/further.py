@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hoplattice.functions import stats
 from hoplattice.functions import text as fn
-from hoplattice.operators import concepts, corpus, fusion, graph, lexical, paired, rank, seeds, summaries, vector, verdicts
+from hoplattice.operators import concepts, corpus, fusion, graph, grids, lexical, paired, rank, seeds, summaries, vector, verdicts
 from hoplattice.plans import fragments as sql
 from hoplattice.plans import graphs, inputs, retrieval
 from hoplattice.sources.tables import stored, table
@@ -405,3 +405,48 @@ def x5(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = graph.node_hop(p1, incidence, df_cap=cap).select(F.lit(cap).alias("cap"), "unit_id")
         lists = own if lists is None else lists.unionByName(own)
     return lists.groupBy("cap").agg(F.count("*").alias("listed"), F.sum((F.col("unit_id") % 10 == 0).cast("long")).alias("found"))
+
+
+@query("c11_diagnostics", f"""WITH {graphs._PARTS}, per_unit AS (SELECT avg(d) AS active_mean, quantile_cont(d, 0.5) AS active_median, max(d) AS active_max, count(*) AS used_units FROM (SELECT count(*) AS d FROM x WHERE w <> 0 GROUP BY unit_id)),
+per_node AS (SELECT avg(d) AS units_mean, quantile_cont(d, 0.5) AS units_median, max(d) AS units_max, count(*) AS used_nodes FROM (SELECT count(*) AS d FROM x WHERE w <> 0 GROUP BY node_id))
+SELECT round(active_mean, 9) AS active_mean, active_median, active_max, used_units, round(units_mean, 9) AS units_mean, units_median, units_max, used_nodes, (SELECT count(*) FROM part) AS n_units, (SELECT count(*) FROM supplier) - used_nodes AS dead_atoms, (SELECT count(*) FROM part) - used_units AS orphan_units FROM per_unit, per_node""")
+def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as units and suppliers as atoms: how many of either the lines of orders use."""
+    units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"))
+    found = concepts.diagnostics(graphs._parts(spark, sf_dir)[0], units, table(spark, sf_dir, "supplier").count())
+    return found.withColumns({name: F.round(name, 9) for name in ("active_mean", "units_mean")})
+
+
+@query("a14_same_article", _ORDER_HOP + " SELECT a.o_orderpriority = b.o_orderpriority AS same_article, count(*) AS gold, count(DISTINCT qid) AS questions FROM hop JOIN orders a ON a.o_orderkey = unit_id JOIN orders b ON b.o_orderkey = qid WHERE rank <= 10 AND unit_id % 10 = 0 GROUP BY 1")
+def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' priorities stand for articles, orders whose key ends in zero for gold."""
+    hop = _hop(spark, sf_dir)[2]
+    articles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_orderpriority").alias("article"))
+    return verdicts.same_article(hop.where("rank <= 10 AND unit_id % 10 = 0").select("qid", "unit_id", F.col("qid").alias("p1")), articles)
+
+
+@query("a15_repeated_fact", _ORDER_HOP + ", told AS (SELECT qid, unit_id, rank, o_custkey % 100 AS fact FROM hop JOIN orders ON o_orderkey = unit_id) SELECT count(*) AS gold, count(DISTINCT qid) AS questions FROM told g WHERE rank > 10 AND unit_id % 10 = 0 AND EXISTS (SELECT 1 FROM told h WHERE h.qid = g.qid AND h.rank <= 10 AND h.fact = g.fact)")
+def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundredths of the customers stand for facts, orders whose key ends in zero for gold."""
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), (F.col("o_custkey") % 100).alias("fact"))
+    told = stored(_hop(spark, sf_dir)[2].join(facts, "unit_id").select("qid", "unit_id", "rank", "fact"), "told")
+    context, gold = told.where("rank <= 10"), told.where("unit_id % 10 = 0")
+    holders = gold.select("qid", "fact", F.col("unit_id").alias("gold_id")).join(context, ["qid", "fact"]).select("qid", "gold_id", "unit_id")
+    return verdicts.repeated_fact(context.select("qid", "unit_id"), holders, gold.select("qid", "unit_id"))
+
+
+#: The decision of each state (s, v, n) of the query below.
+_RULES = [(s, v, n, "replace" if s and v else "extend" if s and n else "keep" if n else "stop") for s in (True, False) for v in (True, False) for n in (True, False)]
+
+
+@query("t7_state_decision", f"WITH {_COUNTS}, rules(s, v, n, decision) AS (VALUES {', '.join(str(r) for r in _RULES)}) SELECT id, decision FROM (SELECT id, b > c AS s, b % 2 = 0 AS v, c % 2 = 0 AS n FROM counts) JOIN rules USING (s, v, n)")
+def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _counts(spark, sf_dir).select("id", (F.col("b") > F.col("c")).alias("s"), (F.col("b") % 2 == 0).alias("v"), (F.col("c") % 2 == 0).alias("n"))
+    return verdicts.state_decision(states, spark.createDataFrame(_RULES, "s boolean, v boolean, n boolean, decision string")).select("id", "decision")
+
+
+@query("t18_scale_outcome", "WITH sizes AS (SELECT l_linenumber AS size, round(avg(l_discount), 6) AS a, round(avg(l_tax), 6) AS b FROM lineitem GROUP BY 1), ends AS (SELECT min_by(a, size) AS a0, min_by(b, size) AS b0, max_by(a, size) AS a1, max_by(b, size) AS b1 FROM sizes) SELECT *, CASE WHEN (a0 - b0) * (a1 - b1) < 0 THEN 'crossover' WHEN a1 < a0 AND b1 < b0 THEN 'both_degrade' WHEN abs(a1 - b1) < abs(a0 - b0) THEN 'convergence' ELSE 'stable_ranking' END AS outcome FROM ends")
+def t18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers stand for sizes, mean discount and tax for the two systems."""
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("size")).agg(F.round(F.avg("l_discount"), 6).alias("a"), F.round(F.avg("l_tax"), 6).alias("b"))
+    return grids.scale_outcome(sizes)

@@ -1,14 +1,20 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Encoding: each task keeps a table of the distinct words it has met, encodes each
-of them once and joins the ids back by word position (``wordtable``). Decoding:
-each id is joined to its piece through the id-to-piece table, whose size is the
-vocabulary's and so is fixed; pieces are joined by single spaces, which is how a
-tokenizer without a decoder of its own writes them.
+Encoding: texts are split into words in Spark, each distinct word is encoded once,
+and its ids are joined back by position. Words that are frequent are counted over
+all texts and encoded into a table of at most ``HOT_WORDS`` rows, which is
+broadcast; every other word goes with its places (the text's digest and which gap
+of the text it fills) to the partition of the word, is encoded there once, and its
+ids go to the partition of the text, where they meet the text's other ids and fill
+its gaps. Which words are frequent decides what moves, never the result.
 
-The table is kept per task, not for the whole corpus: joining ids back by
-position through a shuffle would write a row for each word of the corpus, several
-times the input, where this form moves nothing between executors.
+Copies of a text in one batch travel as one row with all their ids. A text without
+gaps is sent to any partition, so copies that are frequent, whose words then are
+frequent too, do not meet in one task.
+
+Decoding: each id is joined to its piece through the id-to-piece table, whose size
+is the vocabulary's and so is fixed; pieces are joined by single spaces, which is
+how a tokenizer without a decoder of its own writes them.
 
 Defined cases: a null text is empty and has no ids; the digests of an empty
 sequence are those of the empty string; ids may be null and may repeat; an empty
@@ -18,36 +24,222 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.llm import wordtable
-from hoplattice.llm.common import map_arrow
+from hoplattice.llm.common import map_arrow, stored
 
+#: Frequent words, at most; their table is broadcast.
+HOT_WORDS = 524_288
+#: Longer words are never in it, so its bytes are bounded too.
+HOT_LENGTH = 128
+#: A task names words that it met at least so often.
+_OFTEN = 4
+_LONG = re.compile(rf"\S{{{HOT_LENGTH + 1}}}")
+_FLUSH = 600_000  # distinct words that a counting task holds
 _ROWS = 64
+_IDS = 1 << 20  # ids that are finished side by side
+_TEXT = 2**31 - 1  # place of a text's row, behind its gaps'
 
 
 def _source(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``(id, ids array<int>)`` of every row."""
-    source = _source(docs, id_column, text_column)
-    shared = docs.sparkSession.sparkContext.broadcast(wordtable.tokenizer_json(tokenizer))
+def frequent_words(source: DataFrame, tokenizer_text: str, limit: int = HOT_WORDS) -> pa.Table:
+    """``(word, ids)`` of the ``limit`` most frequent words at most, each encoded once."""
+
+    def named(counts: Counter[str]) -> dict[str, list]:
+        often = [(w, n) for w, n in counts.items() if n >= _OFTEN]
+        return {"word": [w for w, _ in often], "n": [n for _, n in often]}
+
+    def counted(batches: Iterator[pa.RecordBatch]):
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = wordtable.cut(text)
+                counts.update([w for w in words if len(w) <= HOT_LENGTH] if _LONG.search(text) else words)
+            if len(counts) > _FLUSH:
+                yield named(counts)
+                counts = Counter()
+        yield named(counts)
+
+    counts = map_arrow(source.select("text"), "word string, n long", counted).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "bpe-counts")
+    # the least count of a frequent word, from the numbers of words by count, so that just the frequent words are collected
+    total, least = 0, 1
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        total += row["words"]
+        if total > limit:
+            least = row["n"] + 1
+            break
+    return _encoded_words(counts.where(F.col("n") >= least).select("word"), tokenizer_text).toArrow()
+
+
+def _encoded_words(words: DataFrame, tokenizer_text: str) -> DataFrame:
+    """The rows of ``words``, equal words side by side, with ``ids`` for ``word``; equal words are encoded once."""
+    shared = words.sparkSession.sparkContext.broadcast(tokenizer_text)
+    kept = [c for c in words.columns if c != "word"]
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        table = wordtable.table_for(shared.value)
+        encoder, last, ids = wordtable.WordEncoder(shared.value), None, b""
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            out = []
+            for word in batch.column("word").to_pylist():
+                if word != last:
+                    last, ids = word, np.array(encoder.ids(word), "<u4").tobytes()
+                out.append(ids)
+            yield {c: batch.column(c) for c in kept or ["word"]} | {"ids": out}
+
+    kinds = dict(words.dtypes)
+    return map_arrow(words, ", ".join(f"{c} {kinds[c]}" for c in kept or ["word"]) + ", ids binary", rows)
+
+
+class _Frequent(dict):
+    """Frequent word to its row; any other word is row 0, a gap, and is noted in ``rare``."""
+
+    def __init__(self, table: pa.Table, dtype: str) -> None:
+        super().__init__(zip(table.column("word").to_pylist(), range(1, len(table) + 1), strict=True))
+        ids = [np.frombuffer(i, "<u4") for i in table.column("ids").to_pylist()]
+        self.ends = np.cumsum([0, 1, *map(len, ids)])
+        self.flat = np.concatenate([[np.iinfo(dtype).max], *ids]).astype(dtype)
+        self.rare: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.rare.append(word)
+        return 0
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of each text, the greatest number in each gap, and its number of gaps."""
+        rows, gaps, self.rare = [], [], []
+        for text in texts:
+            before = len(self.rare)
+            rows.append(np.array(list(map(self.__getitem__, wordtable.cut(text))), np.int64))
+            gaps.append(len(self.rare) - before)
+        row = np.concatenate(rows)
+        length = self.ends[row + 1] - self.ends[row]
+        total = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(self.ends[row] - total[:-1], length) + np.arange(total[-1])]
+        edges = total[np.cumsum([0, *map(len, rows)])]
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], gaps
+
+
+_CACHE: dict[str, _Frequent] = {}
+
+
+def _frequent(name: str, table: pa.Table, dtype: str) -> _Frequent:
+    """The worker's form of the broadcast table; kept between tasks of one worker."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = _Frequent(table, dtype)
+    return _CACHE[name]
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _filled(ids: np.ndarray, gap: int, parts: list[bytes]) -> np.ndarray:
+    """``ids`` with each gap replaced by the ids of its part."""
+    at = ids == gap
+    width = np.ones(len(ids), np.int64)
+    width[at] = [len(p) // 4 for p in parts]
+    out = np.repeat(ids, width)
+    out[np.repeat(at, width)] = np.frombuffer(b"".join(parts), "<u4")
+    return out
+
+
+def _encoded(source: DataFrame, tokenizer_text: str, vocabulary: int, schema: str, finisher: Callable[[], Callable[[list[np.ndarray]], dict[str, list]]]) -> DataFrame:
+    """``id`` and the columns that each task's ``finisher`` gives for the ids of texts, for every row of ``source``."""
+    dtype = "<u2" if vocabulary < 2**16 else "<u4"
+    name, gap, kind = uuid.uuid4().hex, int(np.iinfo(dtype).max), dict(source.dtypes)["id"]
+    shared = source.sparkSession.sparkContext.broadcast(frequent_words(source, tokenizer_text))
+
+    def rare(batches: Iterator[pa.RecordBatch]):
+        frequent = _frequent(name, shared.value, dtype)
+        for batch in batches:
+            texts = list(dict.fromkeys(batch.column("text").to_pylist()))
+            for k in range(0, len(texts), _ROWS):
+                out: dict[str, list] = {"word": [], "key": [], "place": []}
+                for text in texts[k : k + _ROWS]:
+                    words = [w for w in wordtable.cut(text) if w not in frequent]
+                    out["word"] += words
+                    out["key"] += [_digest(text.encode())] * len(words)
+                    out["place"] += range(len(words))
+                yield out
+
+    def gapped(batches: Iterator[pa.RecordBatch]):
+        frequent, codec = _frequent(name, shared.value, dtype), pa.Codec("zstd", compression_level=1)
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            owners: dict[str, list[Any]] = {}
+            for own, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                owners.setdefault(text, []).append(own)
+            texts = list(owners)
             for k in range(0, len(texts), _ROWS):
-                yield {"id": batch.column("id").slice(k, _ROWS), "ids": table.encode(texts[k : k + _ROWS])}
+                some = texts[k : k + _ROWS]
+                ids, gaps = frequent.encode(some)
+                number += len(some)
+                yield {
+                    "key": [_digest(t.encode() if g else b"%d %d" % (part, number - j)) for j, (t, g) in enumerate(zip(some, gaps, strict=True))],
+                    "place": [_TEXT] * len(some),
+                    "ids": [codec.compress(i.tobytes(), asbytes=True) for i in ids],
+                    "n": [len(i) for i in ids],
+                    "owners": [owners[t] for t in some],
+                }
+
+    def assembled(batches: Iterator[pa.RecordBatch]):
+        codec, finish = pa.Codec("zstd"), finisher()
+        key, last, parts, waiting, size = None, -1, [], [], 0
+
+        def finished():
+            columns = finish([ids for _, ids in waiting])
+            times = [len(own) for own, _ in waiting]
+            again = {c: [v for v, n in zip(values, times, strict=True) for _ in range(n)] for c, values in columns.items()}
+            return {"id": [o for own, _ in waiting for o in own]} | again
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("key", "place", "ids", "n", "owners"))
+            for own_key, place, data, n, owners in zip(*columns, strict=True):
+                if own_key != key:
+                    key, last, parts = own_key, -1, []
+                if owners is None:
+                    if place != last:  # copies in several batches name the same gap
+                        parts.append(data)
+                        last = place
+                    continue
+                ids = np.frombuffer(codec.decompress(data, n * np.dtype(dtype).itemsize, asbytes=True), dtype)
+                waiting.append((owners, _filled(ids, gap, parts) if parts else ids))
+                size += len(waiting[-1][1])
+                if len(waiting) == _ROWS or size > _IDS:
+                    yield finished()
+                    waiting, size = [], 0
+        if waiting:
+            yield finished()
 
-    return map_arrow(source, f"id {dict(source.dtypes)['id']}, ids array<int>", rows).withColumnRenamed("id", id_column)
+    places = map_arrow(source.select("text"), "word string, key binary, place int", rare)
+    # a word's rows side by side in its partition: encoded once, never gathered
+    parts = _encoded_words(places.repartition("word").sortWithinPartitions("word"), tokenizer_text)
+    texts = map_arrow(source, f"key binary, place int, ids binary, n int, owners array<{kind}>", gapped)
+    met = texts.unionByName(parts, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "place")
+    return map_arrow(met, f"id {kind}, {schema}", assembled)
+
+
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """``(id, ids array<int>)`` of every row."""
+    text = wordtable.tokenizer_json(tokenizer)
+    encoded = _encoded(_source(docs, id_column, text_column), text, len(wordtable.pieces(text)), "ids array<int>", lambda: lambda ids: {"ids": ids})
+    return encoded.withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -65,25 +257,20 @@ def decode(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids
 
 
 def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Encode and decode every text in one pass: ``(id, n_tokens, ids_sha256, decoded_sha256)``."""
-    source = _source(docs, id_column, text_column)
+    """Encode and decode every text: ``(id, n_tokens, ids_sha256, decoded_sha256)``."""
     text = wordtable.tokenizer_json(tokenizer)
-    shared = docs.sparkSession.sparkContext.broadcast((text, wordtable.pieces(text)))
+    pieces = wordtable.pieces(text)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    def rows(batches: Iterator[pa.RecordBatch]):
-        table = wordtable.table_for(shared.value[0])
-        piece = np.array(shared.value[1], dtype=object)
+    def digests():
+        piece = np.array(shared.value, dtype=object)
         number = np.array([str(i) for i in range(len(piece))], dtype=object)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), _ROWS):
-                encoded = table.encode(texts[k : k + _ROWS])
-                yield {
-                    "id": batch.column("id").slice(k, _ROWS),
-                    "n_tokens": [len(i) for i in encoded],
-                    "ids_sha256": [hashlib.sha256(" ".join(number[i]).encode()).hexdigest() for i in encoded],
-                    "decoded_sha256": [hashlib.sha256(" ".join(piece[i]).encode()).hexdigest() for i in encoded],
-                }
+        joined = lambda names, ids: hashlib.sha256(" ".join(names[ids]).encode()).hexdigest()
+        return lambda encoded: {
+            "n_tokens": [len(i) for i in encoded],
+            "ids_sha256": [joined(number, i) for i in encoded],
+            "decoded_sha256": [joined(piece, i) for i in encoded],
+        }
 
-    schema = f"id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_arrow(source, schema, rows).withColumnRenamed("id", id_column)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _encoded(_source(docs, id_column, text_column), text, len(pieces), schema, digests).withColumnRenamed("id", id_column)

@@ -1,4 +1,4 @@
-"""The distinct-word table: token ids of each distinct word, encoded once, joined back by position.
+"""Words of the tokenizer, their ids, and a worker's table of them.
 
 The tokenizer cuts a text into words (runs of letters, single digits, runs of
 other marks) and nothing it does looks across them, so a text's ids are its
@@ -54,19 +54,41 @@ class _Words(dict):
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-class WordTable:
-    """Encodes texts by their distinct words."""
+def cut(text: str) -> list[str]:
+    """The text's words, in order; runs of a text that is cut at white space alone are marked by a leading space."""
+    if _NOT_PLAIN.search(text):
+        return [" " + run for run in _SPACE.split(text) if run]
+    return _WORD.findall(text.lower())
+
+
+class WordEncoder:
+    """Ids of single words, as ``cut`` gives them."""
 
     def __init__(self, tokenizer_json: str) -> None:
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._model = self._tokenizer.model
+
+    def word(self, word: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(word if word.isascii() else word.translate(_TRANSLATE))]
+
+    def run(self, run: str) -> list[int]:
+        return self._tokenizer.encode(run, add_special_tokens=False).ids
+
+    def ids(self, word: str) -> list[int]:
+        return self.run(word[1:]) if word[0] == " " else self.word(word)
+
+
+class WordTable:
+    """Encodes texts by their distinct words, kept in the worker."""
+
+    def __init__(self, tokenizer_json: str) -> None:
+        self._encoder = WordEncoder(tokenizer_json)
         self._clear()
 
     def _clear(self) -> None:
-        self._words = _Words(lambda w: [t.id for t in self._model.tokenize(w if w.isascii() else w.translate(_TRANSLATE))])
-        self._runs = _Words(lambda w: self._tokenizer.encode(w, add_special_tokens=False).ids)
+        self._words, self._runs = _Words(self._encoder.word), _Words(self._encoder.run)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -129,6 +129,17 @@ def test_op2_round_trip_equals_the_library(docs, odd):
     assert bpe.round_trip(odd).count() == 5 and bpe.round_trip(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 3, 100])
+def test_op2_frequent_and_rare_words_give_the_same_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(bpe.frequent_words, "__defaults__", (limit,))
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [BASE, BASE, "rare1 " + BASE + " rare2 rare2", "ΣΑΣ ΣΑΣ ﬁ " * 3, "ab" * 9000 + " end " + "cd" * 9000, prose(20_000), "", "\x1c \x85", "🙂" * 300]
+    rows = [(k, text) for k, text in enumerate(texts * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(df).collect()}
+    assert got == {k: t.encode(text, add_special_tokens=False).ids for k, text in rows}
+
+
 def test_word_table_on_odd_characters():
     t, table = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), wordtable.WordTable(wordtable.tokenizer_json())
     letters = list("abAB 'stréÀßİΣς\x1c\n\t\x85\xa0.,!$#1²٣<|>́ñŒ한中😀'dllvermª×")

@@ -44,11 +44,11 @@ HOT_WORDS = 524_288
 #: Longer words are never in it, so its bytes are bounded too.
 HOT_LENGTH = 128
 #: A task names words that it met at least so often.
-_OFTEN = 4
-_LONG = re.compile(rf"\S{{{HOT_LENGTH + 1}}}")
+_OFTEN = 2
+_LONG = re.compile(rf"[^ \t\n\r]{{{HOT_LENGTH + 1}}}")
 _FLUSH = 600_000  # distinct words that a counting task holds
 _ROWS = 64
-_IDS = 1 << 20  # ids that are finished side by side
+_WORDS = 1 << 19  # words that are finished side by side
 _TEXT = 2**31 - 1  # place of a text's row, behind its gaps'
 
 
@@ -57,7 +57,7 @@ def _source(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def frequent_words(source: DataFrame, tokenizer_text: str, limit: int = HOT_WORDS) -> pa.Table:
-    """``(word, ids)`` of the ``limit`` most frequent words at most, each encoded once."""
+    """``(n, ids, word)`` of the ``limit`` most frequent words at most, each encoded once, the most frequent first."""
 
     def named(counts: Counter[str]) -> dict[str, list]:
         often = [(w, n) for w, n in counts.items() if n >= _OFTEN]
@@ -83,7 +83,8 @@ def frequent_words(source: DataFrame, tokenizer_text: str, limit: int = HOT_WORD
         if total > limit:
             least = row["n"] + 1
             break
-    return _encoded_words(counts.where(F.col("n") >= least).select("word"), tokenizer_text).toArrow()
+    chosen = counts.where(F.col("n") >= least)
+    return _encoded_words(chosen.withColumn("again", F.col("word")), tokenizer_text).toArrow().sort_by([("n", "descending")])
 
 
 def _encoded_words(words: DataFrame, tokenizer_text: str) -> DataFrame:
@@ -99,74 +100,76 @@ def _encoded_words(words: DataFrame, tokenizer_text: str) -> DataFrame:
                 if word != last:
                     last, ids = word, np.array(encoder.ids(word), "<u4").tobytes()
                 out.append(ids)
-            yield {c: batch.column(c) for c in kept or ["word"]} | {"ids": out}
+            yield {c: batch.column(c) for c in kept} | {"ids": out}
 
     kinds = dict(words.dtypes)
-    return map_arrow(words, ", ".join(f"{c} {kinds[c]}" for c in kept or ["word"]) + ", ids binary", rows)
+    return map_arrow(words, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", ids binary", rows)
 
 
 class _Frequent(dict):
-    """Frequent word to its row; any other word is row 0, a gap, and is noted in ``rare``."""
+    """Frequent word to its row; any other word is row 0, a gap."""
 
-    def __init__(self, table: pa.Table, dtype: str) -> None:
-        super().__init__(zip(table.column("word").to_pylist(), range(1, len(table) + 1), strict=True))
-        ids = [np.frombuffer(i, "<u4") for i in table.column("ids").to_pylist()]
-        self.ends = np.cumsum([0, 1, *map(len, ids)])
-        self.flat = np.concatenate([[np.iinfo(dtype).max], *ids]).astype(dtype)
-        self.rare: list[str] = []
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__(zip(table.column("again").to_pylist(), range(1, len(table) + 1), strict=True))
+        ids = table.column("ids").to_pylist()
+        self._length = np.array([0, *(len(i) // 4 for i in ids)])
+        self._start = np.cumsum(self._length) - self._length
+        self._flat = np.frombuffer(b"".join(ids), "<u4")
 
     def __missing__(self, word: str) -> int:
-        self.rare.append(word)
         return 0
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        """Ids of each text, the greatest number in each gap, and its number of gaps."""
-        rows, gaps, self.rare = [], [], []
-        for text in texts:
-            before = len(self.rare)
-            rows.append(np.array(list(map(self.__getitem__, wordtable.cut(text))), np.int64))
-            gaps.append(len(self.rare) - before)
+    def rows(self, text: str) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, wordtable.cut(text))), "<u4")
+
+    def ids(self, rows: list[np.ndarray], parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each list of rows; ``parts`` has the ids of all gaps, in order."""
         row = np.concatenate(rows)
-        length = self.ends[row + 1] - self.ends[row]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.ends[row] - total[:-1], length) + np.arange(total[-1])]
+        gap, width = row == 0, self._length[row]
+        width[gap] = [len(p) // 4 for p in parts]
+        total = np.concatenate([[0], np.cumsum(width)])
+        out, in_gap = np.empty(total[-1], np.uint32), np.repeat(gap, width)
+        at = (np.repeat(self._start[row] - total[:-1], width) + np.arange(total[-1]))[~in_gap]
+        out[~in_gap] = self._flat[at]
+        out[in_gap] = np.frombuffer(b"".join(parts), "<u4")
         edges = total[np.cumsum([0, *map(len, rows)])]
-        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], gaps
+        return [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 _CACHE: dict[str, _Frequent] = {}
 
 
-def _frequent(name: str, table: pa.Table, dtype: str) -> _Frequent:
+def _frequent(name: str, table: pa.Table) -> _Frequent:
     """The worker's form of the broadcast table; kept between tasks of one worker."""
     if name not in _CACHE:
         _CACHE.clear()
-        _CACHE[name] = _Frequent(table, dtype)
+        _CACHE[name] = _Frequent(table)
     return _CACHE[name]
 
 
 def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+    """96 bits: among 10^10 texts, two of one digest have a chance below 10^-9."""
+    return hashlib.blake2b(data, digest_size=12).digest()
+
+
+def _packed(rows: np.ndarray, codec: pa.Codec) -> bytes:
+    """Rows, frequent ones small, as compressed planes of low, middle and high bytes."""
+    return codec.compress(rows.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), asbytes=True)
 
 
-def _filled(ids: np.ndarray, gap: int, parts: list[bytes]) -> np.ndarray:
-    """``ids`` with each gap replaced by the ids of its part."""
-    at = ids == gap
-    width = np.ones(len(ids), np.int64)
-    width[at] = [len(p) // 4 for p in parts]
-    out = np.repeat(ids, width)
-    out[np.repeat(at, width)] = np.frombuffer(b"".join(parts), "<u4")
-    return out
+def _unpacked(data: bytes, n: int, codec: pa.Codec) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :3] = np.frombuffer(codec.decompress(data, 3 * n, asbytes=True), np.uint8).reshape(3, n).T
+    return out.view("<u4").ravel()
 
 
-def _encoded(source: DataFrame, tokenizer_text: str, vocabulary: int, schema: str, finisher: Callable[[], Callable[[list[np.ndarray]], dict[str, list]]]) -> DataFrame:
+def _encoded(source: DataFrame, tokenizer_text: str, schema: str, finisher: Callable[[], Callable[[list[np.ndarray]], dict[str, list]]]) -> DataFrame:
     """``id`` and the columns that each task's ``finisher`` gives for the ids of texts, for every row of ``source``."""
-    dtype = "<u2" if vocabulary < 2**16 else "<u4"
-    name, gap, kind = uuid.uuid4().hex, int(np.iinfo(dtype).max), dict(source.dtypes)["id"]
+    name, kind = uuid.uuid4().hex, dict(source.dtypes)["id"]
     shared = source.sparkSession.sparkContext.broadcast(frequent_words(source, tokenizer_text))
 
     def rare(batches: Iterator[pa.RecordBatch]):
-        frequent = _frequent(name, shared.value, dtype)
+        frequent = _frequent(name, shared.value)
         for batch in batches:
             texts = list(dict.fromkeys(batch.column("text").to_pylist()))
             for k in range(0, len(texts), _ROWS):
@@ -179,7 +182,7 @@ def _encoded(source: DataFrame, tokenizer_text: str, vocabulary: int, schema: st
                 yield out
 
     def gapped(batches: Iterator[pa.RecordBatch]):
-        frequent, codec = _frequent(name, shared.value, dtype), pa.Codec("zstd", compression_level=1)
+        frequent, codec = _frequent(name, shared.value), pa.Codec("zstd", compression_level=3)
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             owners: dict[str, list[Any]] = {}
@@ -188,25 +191,25 @@ def _encoded(source: DataFrame, tokenizer_text: str, vocabulary: int, schema: st
             texts = list(owners)
             for k in range(0, len(texts), _ROWS):
                 some = texts[k : k + _ROWS]
-                ids, gaps = frequent.encode(some)
+                rows = [frequent.rows(t) for t in some]
                 number += len(some)
                 yield {
-                    "key": [_digest(t.encode() if g else b"%d %d" % (part, number - j)) for j, (t, g) in enumerate(zip(some, gaps, strict=True))],
+                    "key": [_digest(b"%d %d" % (part, number - j) if r.all() else t.encode()) for j, (t, r) in enumerate(zip(some, rows, strict=True))],
                     "place": [_TEXT] * len(some),
-                    "ids": [codec.compress(i.tobytes(), asbytes=True) for i in ids],
-                    "n": [len(i) for i in ids],
+                    "ids": [_packed(r, codec) for r in rows],
+                    "n": [len(r) for r in rows],
                     "owners": [owners[t] for t in some],
                 }
 
     def assembled(batches: Iterator[pa.RecordBatch]):
-        codec, finish = pa.Codec("zstd"), finisher()
+        frequent, codec, finish = _frequent(name, shared.value), pa.Codec("zstd"), finisher()
         key, last, parts, waiting, size = None, -1, [], [], 0
 
         def finished():
-            columns = finish([ids for _, ids in waiting])
-            times = [len(own) for own, _ in waiting]
+            columns = finish(frequent.ids([rows for _, rows, _ in waiting], [p for _, _, filling in waiting for p in filling]))
+            times = [len(own) for own, _, _ in waiting]
             again = {c: [v for v, n in zip(values, times, strict=True) for _ in range(n)] for c, values in columns.items()}
-            return {"id": [o for own, _ in waiting for o in own]} | again
+            return {"id": [o for own, _, _ in waiting for o in own]} | again
 
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("key", "place", "ids", "n", "owners"))
@@ -218,10 +221,9 @@ def _encoded(source: DataFrame, tokenizer_text: str, vocabulary: int, schema: st
                         parts.append(data)
                         last = place
                     continue
-                ids = np.frombuffer(codec.decompress(data, n * np.dtype(dtype).itemsize, asbytes=True), dtype)
-                waiting.append((owners, _filled(ids, gap, parts) if parts else ids))
-                size += len(waiting[-1][1])
-                if len(waiting) == _ROWS or size > _IDS:
+                waiting.append((owners, _unpacked(data, n, codec), parts))
+                size += n + len(parts)
+                if len(waiting) == _ROWS or size > _WORDS:
                     yield finished()
                     waiting, size = [], 0
         if waiting:
@@ -238,7 +240,7 @@ def _encoded(source: DataFrame, tokenizer_text: str, vocabulary: int, schema: st
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``(id, ids array<int>)`` of every row."""
     text = wordtable.tokenizer_json(tokenizer)
-    encoded = _encoded(_source(docs, id_column, text_column), text, len(wordtable.pieces(text)), "ids array<int>", lambda: lambda ids: {"ids": ids})
+    encoded = _encoded(_source(docs, id_column, text_column), text, "ids array<int>", lambda: lambda ids: {"ids": ids})
     return encoded.withColumnRenamed("id", id_column)
 
 
@@ -273,4 +275,4 @@ def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         }
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _encoded(_source(docs, id_column, text_column), text, len(pieces), schema, digests).withColumnRenamed("id", id_column)
+    return _encoded(_source(docs, id_column, text_column), text, schema, digests).withColumnRenamed("id", id_column)

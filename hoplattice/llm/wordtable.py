@@ -55,14 +55,12 @@ class _Words(dict):
 
 
 def cut(text: str) -> list[str]:
-    """The text's words, in order; runs of a text that is cut at white space alone are marked by a leading space."""
-    if _NOT_PLAIN.search(text):
-        return [" " + run for run in _SPACE.split(text) if run]
-    return _WORD.findall(text.lower())
+    """The text's words between white space, in order; those of a plain text in small letters."""
+    return [w for w in _SPACE.split(text) if w] if _NOT_PLAIN.search(text) else text.lower().split()
 
 
 class WordEncoder:
-    """Ids of single words, as ``cut`` gives them."""
+    """Ids of single words."""
 
     def __init__(self, tokenizer_json: str) -> None:
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -71,13 +69,16 @@ class WordEncoder:
         self._model = self._tokenizer.model
 
     def word(self, word: str) -> list[int]:
+        """Of a word by the tokenizer's own pattern, plain and in small letters."""
         return [t.id for t in self._model.tokenize(word if word.isascii() else word.translate(_TRANSLATE))]
 
     def run(self, run: str) -> list[int]:
+        """Of anything between white space, by the whole tokenizer."""
         return self._tokenizer.encode(run, add_special_tokens=False).ids
 
     def ids(self, word: str) -> list[int]:
-        return self.run(word[1:]) if word[0] == " " else self.word(word)
+        """Of a word as ``cut`` gives it."""
+        return self.run(word) if _NOT_PLAIN.search(word) else [i for w in _WORD.findall(word.lower()) for i in self.word(w)]
 
 
 class WordTable:

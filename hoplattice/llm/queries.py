@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoplattice.llm import bpe, embedding_dedup, fingerprints, lm, packing, secrets, simhash_dedup, token_counts, toxicity, url_filter
+from hoplattice.llm import bpe, embedding_dedup, fingerprints, lm, packing, pii, prefix_trie, secrets, simhash_dedup, token_counts, toxicity, url_filter, whitening
 from hoplattice.llm.common import read, stored
 
 
@@ -57,6 +57,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_ids(read(spark, sf_dir, "conversations"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_table(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op11_pii": op11_pii,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -5,11 +5,11 @@ units of the recurrent model; every other word belongs to one of ``TAILS`` tail
 units, by its last two bytes, and its probability is the tail unit's times its own
 smoothed share of the tail's counts, so the model covers every word. Rare words'
 counts are joined to the documents that hold them; only ``HOT_WORDS`` frequent
-words and the model, both of bounded size, are broadcast.
+words of ``HOT_LENGTH`` bytes at most and the model, both of bounded size, are broadcast.
 
 The model is fitted on all training documents, once each at every size: they are
 dealt to as many replicas as they fill, and to rounds; each round every replica
-trains on its own part and the replicas are averaged by their tokens. What counting gathers and what training reads grow with the corpus.
+trains on its own part and the replicas are averaged by their tokens, in a tree that leaves one row. What counting gathers and what training reads grow with the corpus.
 Scoring feeds each whole text, the state carried from window to window.
 
 Defined cases: a null or empty text is the end token alone; a null id is held out;
@@ -37,6 +37,10 @@ from hoplattice.llm import gru
 from hoplattice.llm.common import held_out_column, map_arrow, stored
 
 HOT_WORDS = 131_072
+#: Bytes of the longest word that is collected and broadcast.
+HOT_LENGTH = 64
+#: Models that are averaged in one step.
+FAN = 32
 SHORTLIST = 1_960
 TAILS = 64
 #: Training tokens of one replica.
@@ -92,21 +96,25 @@ class Statistics:
 
 
 def statistics(counts: DataFrame, hot_words: int = HOT_WORDS, shortlist: int = SHORTLIST) -> Statistics:
-    """Whole-corpus totals by tail, and the ``hot_words`` most frequent words, the only ones that leave Spark."""
+    """Whole-corpus totals by tail, and the ``hot_words`` most frequent words, the only ones that leave Spark.
+
+    Words of over ``HOT_LENGTH`` bytes never do, however frequent: what is collected and broadcast is bounded in bytes.
+    """
     tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS))
     totals = counts.where(F.col("word") != F.lit(_END)).groupBy(tail.alias("tail")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect()
     n, v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for r in totals:
         n[r["tail"]], v[r["tail"]] = r["n"], r["v"]
     # the least count of a hot word, from the numbers of words by count, so that just the hot words are collected
-    by_count = counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).withColumnRenamed("count", "c")
+    short_words = counts.where(F.octet_length("word") <= HOT_LENGTH)
+    by_count = short_words.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).withColumnRenamed("count", "c")
     total, least = 0, 1
     for r in by_count.toLocalIterator():
         total += r["words"]
         if total > hot_words:
             least = r["c"] + 1
             break
-    hot = sorted(((bytes(r["word"]), r["count"]) for r in counts.where(F.col("count") >= least).collect()), key=lambda h: (-h[1], h[0]))
+    hot = sorted(((bytes(r["word"]), r["count"]) for r in short_words.where(F.col("count") >= least).collect()), key=lambda h: (-h[1], h[0]))
     hot_counts = dict(hot)
     ends = hot_counts.setdefault(_END, 0)
     tokens, distinct = int(n.sum()) + ends, int(v.sum()) + (ends > 0)
@@ -192,6 +200,20 @@ def dealt(encoded: DataFrame, replicas: int, rounds: int) -> DataFrame:
     return encoded.select(part(2, rounds).alias("round"), part(3, replicas).alias("replica"), "row", "units")
 
 
+def averaged(models: DataFrame, replicas: int, fan: int = FAN) -> DataFrame:
+    """One row from ``models`` (``replica`` below ``replicas``, ``tokens``, ``flat``): their average by tokens, ``fan`` at a time."""
+
+    def mean(key, table):
+        weight = np.array(table.column("tokens").to_pylist(), float)
+        flat = sum(w * np.frombuffer(f, "<f4").astype(float) for w, f in zip(weight, table.column("flat").to_pylist(), strict=True)) / weight.sum()
+        return pa.table({"replica": [key[0].as_py()], "tokens": [int(weight.sum())], "flat": [flat.astype("<f4").tobytes()]}, table.schema)
+
+    while replicas > 1:
+        grouped = models.withColumn("replica", F.floor(F.col("replica") / fan).cast("int"))
+        models, replicas = grouped.groupBy("replica").applyInArrow(mean, models.schema), -(-replicas // fan)
+    return models
+
+
 def fit(encoded: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 16) -> gru.Model:
     """Average of replicas, trained side by side in ``rounds`` rounds that share out all rows of ``encoded``."""
     model = gru.Model.fresh(stats.unit_counts, stats.end, hidden)
@@ -210,7 +232,7 @@ def fit(encoded: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 16
 
             def done():
                 flat = gru.train(shared.value, rows, rate=pace, seed=k).flat()
-                return {"group": [replica // 32], "tokens": [sum(len(r) + 1 for r in rows)], "flat": [flat.astype("<f4").tobytes()]}
+                return {"replica": [replica], "tokens": [sum(len(r) + 1 for r in rows)], "flat": [flat.astype("<f4").tobytes()]}
 
             for batch in batches:
                 for own, units in zip(batch.column("replica").to_pylist(), batch.column("units").to_pylist(), strict=True):
@@ -222,18 +244,11 @@ def fit(encoded: DataFrame, stats: Statistics, rounds: int = 3, hidden: int = 16
             if rows:
                 yield done()
 
-        def averaged(key, table):
-            weight = np.array(table.column("tokens").to_pylist(), float)
-            flat = sum(w * np.frombuffer(f, "<f4").astype(float) for w, f in zip(weight, table.column("flat").to_pylist(), strict=True)) / weight.sum()
-            return pa.table({"group": [key[0].as_py()], "tokens": [int(weight.sum())], "flat": [flat.astype("<f4").tobytes()]}, table.schema)
-
-        schema = "group int, tokens long, flat binary"
-        # replicas meet in groups of 32 before the few groups' averages come to the driver
-        groups = map_arrow(part, schema, trained).groupBy("group").applyInArrow(averaged, schema).collect()
-        if groups:
-            weight = np.array([g["tokens"] for g in groups], float)
-            flat = sum(w * np.frombuffer(g["flat"], "<f4").astype(float) for w, g in zip(weight, groups, strict=True)) / weight.sum()
-            model = model.with_flat(flat)
+        # replicas meet in groups, and groups in groups, until one row is left: what the driver gets is one model at any size
+        schema = "replica int, tokens long, flat binary"
+        models = averaged(map_arrow(part, schema, trained), replicas).collect()
+        if models:
+            model = model.with_flat(np.frombuffer(models[0]["flat"], "<f4").astype(float))
     return model
 
 

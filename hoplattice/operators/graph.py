@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoplattice.operators.rank import min_max, rounded, top_k
-from hoplattice.sources.tables import small
+from hoplattice.operators.vector import sampled_dots
+from hoplattice.sources.tables import small, stored
 
 
 def document_frequency(incidence: DataFrame) -> DataFrame:
@@ -90,16 +91,39 @@ def concept_hop(p1: DataFrame, x: DataFrame, read: DataFrame | None = None, k: i
     return out.withColumn("reach", F.col("positives") / F.lit(n))
 
 
+def candidates(p1: DataFrame, incidence: DataFrame, read: DataFrame, df_cap: int | None = None) -> DataFrame:
+    """The whole candidate sets of ``node_hop``, before any cut: ``(qid, unit_id, score)``."""
+    return without_read(_scored(seeds_of(p1, incidence, weights(incidence), df_cap), incidence, []), read)
+
+
 def relevance_hop(candidates: DataFrame, similarity: DataFrame, alphas: DataFrame, k: int = 100) -> DataFrame:
-    """``(1 - a) minmax(rarity) + a minmax(similarity)`` over whole candidate sets, at each alpha; at 0 the rarity order itself."""
-    both = candidates.select("qid", "unit_id", "score").join(similarity.select("qid", "unit_id", "sim"), ["qid", "unit_id"])
-    scaled = min_max(min_max(both, ("qid",), "score", "a"), ("qid",), "sim", "b")
+    """``(1 - a) minmax(rarity) + a minmax(similarity)`` over whole candidate sets, at each alpha; at 0 the rarity order itself.
+
+    Ranges are aggregates by query and meet the candidates in a broadcast join where the query set is small; no
+    window holds a query's whole candidate set.
+    """
+    both = stored(candidates.select("qid", "unit_id", "score").join(similarity.select("qid", "unit_id", "sim"), ["qid", "unit_id"]), "candidates")
+    ends = both.groupBy("qid").agg(*(f(c).alias(f"{name}_{c}") for c in ("score", "sim") for name, f in (("low", F.min), ("high", F.max))))
+    share = lambda c: F.when(F.col(f"high_{c}") > F.col(f"low_{c}"), (F.col(c) - F.col(f"low_{c}")) / (F.col(f"high_{c}") - F.col(f"low_{c}"))).otherwise(F.lit(0.0))
+    scaled = both.join(small(stored(ends, "ranges")), "qid").select("qid", "unit_id", "score", share("score").alias("a"), share("sim").alias("b"))
     mixed = scaled.crossJoin(F.broadcast(alphas)).withColumn(
         "score", F.when(F.col("alpha") == 0, F.col("score")).otherwise(rounded((1 - F.col("alpha")) * F.col("a") + F.col("alpha") * F.col("b"), 9))
     )
     return top_k(mixed.select("alpha", "qid", "unit_id", "score"), k, ("alpha", "qid"))
 
 
+def relevance_stage(
+    first: DataFrame, incidence: DataFrame, queries: DataFrame, units: DataFrame, alphas: DataFrame, read_depth: int = 10, k: int = 100
+) -> DataFrame:
+    """The relevance hop from a list: candidates share nodes with its first unit, similarity is the inner product with the query's vector.
+
+    ``first(qid, unit_id, rank)``, ``queries(qid, v)``, ``units(unit_id, v)``; what the list holds within
+    ``read_depth`` is left out. Products are taken for candidates only, once for all alphas.
+    """
+    found = stored(candidates(first.where("rank = 1").select("qid", "unit_id"), incidence, first.where(F.col("rank") <= read_depth)), "hop-candidates")
+    return relevance_hop(found, sampled_dots(found, queries, units), alphas, k)
+
+
 def contributions(seeds: DataFrame, incidence: DataFrame, hits: DataFrame) -> DataFrame:
     """Shared nodes of each hit, heaviest first."""
     shared = small(seeds).join(incidence, "node_id").join(hits.select("qid", "unit_id"), ["qid", "unit_id"], "left_semi")

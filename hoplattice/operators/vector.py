@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.operators.rank import top_k
+from hoplattice.sources.tables import Pieces
 
 #: Queries of one block; a block's vectors are what is broadcast.
 BLOCK = 2_048
@@ -32,11 +35,11 @@ def dense_topk(queries: DataFrame, units: DataFrame, k: int = 100, digits: int =
     """Top ``k`` units ``(unit_id, v)`` of each query ``(qid, v)`` by inner product, a query's own id left out.
 
     Each block of queries is one matrix, broadcast; every task keeps the ``k`` best
-    of its units for each query, and only those are shuffled.
+    of its units for each query, and only those are shuffled. Each block's lists are stored.
     """
     spark = units.sparkSession
     asked = queries.select("qid", F.col("v").cast("array<double>").alias("v")).toLocalIterator()
-    out = units.select(F.col("unit_id").cast("long").alias("qid"), "unit_id", F.lit(0.0).alias("score")).limit(0)
+    out = Pieces(spark, "qid long, unit_id long, score double, rank int", "dense")
     while block := list(islice(asked, BLOCK)):
         ids = np.array([r["qid"] for r in block])
         matrix = np.array([r["v"] for r in block], float)
@@ -61,5 +64,59 @@ def dense_topk(queries: DataFrame, units: DataFrame, k: int = 100, digits: int =
                     yield pa.RecordBatch.from_pydict({"qid": np.full(len(keep), qids[j]), "unit_id": unit[keep], "score": column[keep]})
 
         found = units.select("unit_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(best, "qid long, unit_id long, score double")
-        out = out.unionByName(found)
-    return top_k(out, k)
+        out.add(top_k(found, k))
+    return out.read()
+
+
+def sampled_dots(pairs: DataFrame, queries: DataFrame, units: DataFrame, digits: int = 6) -> DataFrame:
+    """``(qid, unit_id, sim)``: inner products of the given pairs ``(qid, unit_id)`` and of no others.
+
+    Pairs are grouped by unit, at most a block of queries each, and joined to the units once, so a
+    vector travels once for a block and never for a pair; the queries' vectors are one matrix, broadcast. Pairs whose query or unit has no
+    vector are left out; vectors of another length than the block's are an error.
+    """
+    spark = units.sparkSession
+    asked = queries.select("qid", F.col("v").cast("array<double>").alias("v")).toLocalIterator()
+    qid, unit_id = dict(queries.dtypes)["qid"], dict(units.dtypes)["unit_id"]
+    out = Pieces(spark, f"qid {qid}, unit_id {unit_id}, sim double", "sampled-dots")
+    while block := list(islice(asked, BLOCK)):
+        shared = spark.sparkContext.broadcast(np.array([r["v"] for r in block], float))
+        places = spark.createDataFrame([(r["qid"], k) for k, r in enumerate(block)], f"qid {qid}, place int")
+        grouped = pairs.select("qid", "unit_id").join(F.broadcast(places), "qid").groupBy("unit_id").agg(F.collect_set("place").alias("places"))
+        meeting = units.select("unit_id", F.col("v").cast("array<double>").alias("v")).join(grouped, "unit_id")
+
+        def products(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matrix = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    values = np.asarray(batch.column("v").flatten(), float).reshape(batch.num_rows, matrix.shape[1])
+                    lists = batch.column("places")
+                    row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+                    place = np.asarray(lists.flatten())
+                    sims = np.concatenate([np.einsum("ij,ij->i", values[row[k : k + 65_536]], matrix[place[k : k + 65_536]]) for k in range(0, len(row), 65_536)])
+                    yield pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int32()), "unit_id": batch.column("unit_id").take(pa.array(row)), "sim": np.round(sims, digits) + 0.0})
+
+        found = meeting.select("unit_id", "v", "places").mapInArrow(products, f"place int, unit_id {unit_id}, sim double")
+        out.add(found.join(F.broadcast(places), "place").select("qid", "unit_id", "sim"))
+    return out.read()
+
+
+def hashed_vectors(texts: DataFrame, dimension: int = 64) -> DataFrame:
+    """``(content_id, v)``: a stand-in for a text encoder, unit vectors of signed word hashes.
+
+    A word's MD5 gives its place (the first four hex digits, modulo ``dimension``) and its sign (plus if the
+    fifth is below 8). Words are runs of ``[a-z0-9]`` of the lower-cased text; a text without any is the zero vector.
+    """
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.zeros((batch.num_rows, dimension))
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                for word in re.findall("[a-z0-9]+", (text or "").lower()):
+                    digest = hashlib.md5(word.encode()).hexdigest()
+                    made[k, int(digest[:4], 16) % dimension] += 1 if digest[4] < "8" else -1
+            made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-300)
+            flat = pa.ListArray.from_arrays(np.arange(0, made.size + 1, dimension, dtype=np.int32), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("content_id"), flat], ["content_id", "v"])
+
+    return texts.select("content_id", "text").mapInArrow(encoded, "content_id string, v array<double>")

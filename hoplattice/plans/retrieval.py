@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplattice.operators import fusion, graph, grids, metrics, paired, rank, rerank, seeds, vector
+from hoplattice.operators import fusion, graph, grids, metrics, paired, product, rank, rerank, seeds, vector
 from hoplattice.plans import fragments as sql
 from hoplattice.plans import inputs
 from hoplattice.sources.tables import table
@@ -92,7 +92,7 @@ SELECT points.point, CAST(a AS DOUBLE) AS w_bm25, CAST(b AS DOUBLE) AS w_overlap
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = grids.weight_table(spark, inputs.COMPONENTS)
-    fused = fusion.grid(inputs.lists(spark, sf_dir), points, inputs.COMPONENTS, k=10)
+    fused = product.topk(inputs.lists(spark, sf_dir), inputs.COMPONENTS, product.weights_of(inputs.COMPONENTS), k=10)
     found = fused.join(inputs.qrels(spark, sf_dir), ["qid", "unit_id"]).groupBy("point").agg(F.count("*").alias("found"))
     return points.join(found, "point", "left").select("point", "w_bm25", "w_overlap", "w_hop", F.coalesce("found", F.lit(0)).alias("found"))
 

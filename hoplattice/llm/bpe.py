@@ -10,7 +10,10 @@ its gaps. Which words are frequent decides what moves, never the result.
 
 Copies of a text in one batch travel as one row with all their ids. A text without
 gaps is sent to any partition, so copies that are frequent, whose words then are
-frequent too, do not meet in one task.
+frequent too, do not meet in one task. Words of over ``HOT_LENGTH`` characters are never frequent, so one of them may be in every text:
+a text that has one is keyed together with a salt of its own id, and its long words with the same
+salt. Neither the word's places nor the text's copies meet in one task, and a long
+word is encoded once for each salt at most.
 
 Decoding: each id is joined to its piece through the id-to-piece table, whose size
 is the vocabulary's and so is fixed; pieces are joined by single spaces, which is
@@ -26,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.llm import wordtable
-from hoplattice.llm.common import map_arrow, stored
+from hoplattice.llm.common import map_arrow, shuffle_partitions, stored
 
 #: Frequent words, at most; their table is broadcast.
 HOT_WORDS = 524_288
@@ -168,16 +172,32 @@ def _encoded(source: DataFrame, tokenizer_text: str, schema: str, finisher: Call
     name, kind = uuid.uuid4().hex, dict(source.dtypes)["id"]
     shared = source.sparkSession.sparkContext.broadcast(frequent_words(source, tokenizer_text))
 
+    salts = shuffle_partitions(source.sparkSession)
+
+    def salt(own: Any, text: str) -> int:
+        return zlib.crc32(repr(own).encode()) % salts + 1 if _LONG.search(text) else 0
+
+    def key_of(text: str, salt: int) -> bytes:
+        return _digest(b"%d " % salt + text.encode()) if salt else _digest(text.encode())
+
+    def salted(batch: pa.RecordBatch) -> dict[tuple[str, int], list[Any]]:
+        """Each text with its salt, and the ids of the rows that have it."""
+        owners: dict[tuple[str, int], list[Any]] = {}
+        for own, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            owners.setdefault((text, salt(own, text)), []).append(own)
+        return owners
+
     def rare(batches: Iterator[pa.RecordBatch]):
         frequent = _frequent(name, shared.value)
         for batch in batches:
-            texts = list(dict.fromkeys(batch.column("text").to_pylist()))
+            texts = list(salted(batch))
             for k in range(0, len(texts), _ROWS):
-                out: dict[str, list] = {"word": [], "key": [], "place": []}
-                for text in texts[k : k + _ROWS]:
+                out: dict[str, list] = {"word": [], "salt": [], "key": [], "place": []}
+                for text, own_salt in texts[k : k + _ROWS]:
                     words = [w for w in wordtable.cut(text) if w not in frequent]
                     out["word"] += words
-                    out["key"] += [_digest(text.encode())] * len(words)
+                    out["salt"] += [own_salt if len(w) > HOT_LENGTH else 0 for w in words]
+                    out["key"] += [key_of(text, own_salt)] * len(words)
                     out["place"] += range(len(words))
                 yield out
 
@@ -185,16 +205,14 @@ def _encoded(source: DataFrame, tokenizer_text: str, schema: str, finisher: Call
         frequent, codec = _frequent(name, shared.value), pa.Codec("zstd", compression_level=3)
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            owners: dict[str, list[Any]] = {}
-            for own, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                owners.setdefault(text, []).append(own)
+            owners = salted(batch)
             texts = list(owners)
             for k in range(0, len(texts), _ROWS):
                 some = texts[k : k + _ROWS]
-                rows = [frequent.rows(t) for t in some]
+                rows = [frequent.rows(t) for t, _ in some]
                 number += len(some)
                 yield {
-                    "key": [_digest(b"%d %d" % (part, number - j) if r.all() else t.encode()) for j, (t, r) in enumerate(zip(some, rows, strict=True))],
+                    "key": [_digest(b"%d %d" % (part, number - j)) if r.all() else key_of(*t) for j, (t, r) in enumerate(zip(some, rows, strict=True))],
                     "place": [_TEXT] * len(some),
                     "ids": [_packed(r, codec) for r in rows],
                     "n": [len(r) for r in rows],
@@ -229,9 +247,9 @@ def _encoded(source: DataFrame, tokenizer_text: str, schema: str, finisher: Call
         if waiting:
             yield finished()
 
-    places = map_arrow(source.select("text"), "word string, key binary, place int", rare)
+    places = map_arrow(source, "word string, salt int, key binary, place int", rare)
     # a word's rows side by side in its partition: encoded once, never gathered
-    parts = _encoded_words(places.repartition("word").sortWithinPartitions("word"), tokenizer_text)
+    parts = _encoded_words(places.repartition("word", "salt").sortWithinPartitions("word").drop("salt"), tokenizer_text)
     texts = map_arrow(source, f"key binary, place int, ids binary, n int, owners array<{kind}>", gapped)
     met = texts.unionByName(parts, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "place")
     return map_arrow(met, f"id {kind}, {schema}", assembled)

@@ -12,8 +12,9 @@ Two ways to choose the shards' bits. For a small radius (``block_tables``): with
 ``radius`` differing bits, two fingerprints agree on ``k`` at least of ``radius + k``
 blocks, so the choices of ``k`` blocks find every link. For a similarity of shingle sets
 (``sampled_tables``): random bits, as many tables as find a pair at just that
-similarity with the stated recall; the bits of a table grow with the logarithm of
-the number of fingerprints, so shards stay small at every size.
+similarity with the stated recall, over the spread of their distances; the bits of a table grow with the logarithm of
+the number of fingerprints, so shards stay small at every size. Sets of a few shingles, whose
+distances spread too far, are met exactly: each against all that have one shingle more.
 
 For a similarity, fingerprints only choose candidates: a pair links if the exact
 Jaccard similarity of its distinct shingles reaches it. All pairs of a group of near
@@ -45,8 +46,8 @@ from hoplattice.llm import votes
 from hoplattice.llm.common import chunk_pairs, map_arrow, shuffle_partitions, stored
 from hoplattice.llm.components import components
 
-#: Standard deviations of the differing bits, beyond what a similarity lets expect, within which a pair is a candidate.
-DEVIATIONS = 2.0
+#: Share of the pairs at just the similarity that become candidates.
+RECALL = 0.96
 _ROWS = 64
 _EPSILON = 1e-9  # similarities are quotients of whole numbers
 
@@ -136,17 +137,57 @@ def block_tables(bits: int, radius: int, rows: int, tree_rows: int = 512) -> lis
     return [np.concatenate(chosen) for chosen in combinations(blocks, agree)]
 
 
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits at a Jaccard similarity of equally large shingle sets."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def sampled_tables(bits: int, similarity: float, rows: int, recall: float = 0.98, seed: int = 17) -> list[np.ndarray]:
-    """Random bit positions: shards of about 16 of ``rows`` fingerprints, and as many tables as the recall asks for."""
-    size = min(40, max(8, round(math.log2(max(rows, 1) / 16 + 1))))
-    alike = (1 - differing_share(similarity)) ** size
+def simulated_distances(common: int, left: int, right: int, bits: int, pairs: int = 600, seed: int = 23) -> np.ndarray:
+    """Differing bits of pairs of random shingle sets that share ``common`` shingles and have ``left`` and ``right`` of their own."""
     rng = np.random.default_rng(seed)
-    return [rng.choice(bits, size, replace=False) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - alike)))]
+    own = [np.arange(common + left), np.append(np.arange(common), np.arange(common + left, common + left + right))]
+    out = []
+    for _ in range(0, pairs, 50):
+        hashed = rng.integers(0, 2, (50, common + left + right, bits), dtype=np.uint8)
+        order = rng.random(hashed.shape[:2])
+        voted = []
+        for mine in own:
+            least = mine[order[:, mine].argmin(axis=1)]  # the smallest hash counts half more
+            voted.append(2 * hashed[:, mine].sum(axis=1) + hashed[np.arange(50), least] > len(mine) + 0.5)
+        out.append((voted[0] != voted[1]).sum(axis=1))
+    return np.concatenate(out)
+
+
+def _pairs_at(similarity: float, bits: int) -> list[np.ndarray]:
+    """Distances at just the similarity: equally large and nested sets, large, small and the smallest that shards must find."""
+    out = []
+    for union in (200, 20, small_sets(similarity) + 1):
+        common = math.ceil(similarity * union - _EPSILON)
+        for left in ((union - common) // 2, 0):
+            out.append(simulated_distances(common, left, union - common - left, bits))
+    return out
+
+
+def small_sets(similarity: float) -> int:
+    """Two different sets of so many shingles together, or fewer, reach the similarity only if one is the other and one shingle more."""
+    return max(1, math.ceil(2 / (1 - similarity) - _EPSILON) - 1) if similarity < 1 else 1
+
+
+def candidate_recall(distances: np.ndarray, bits: int, size: int, tables: int, radius: int) -> float:
+    """Share of pairs at these distances that lie within the radius and agree on all bits of one table at least."""
+    agree = np.array([math.prod((bits - d - k) / (bits - k) for k in range(size)) if d <= bits - size else 0.0 for d in range(bits + 1)])
+    return float(((distances <= radius) * (1 - (1 - agree[distances]) ** tables)).mean())
+
+
+def sampled_tables(bits: int, similarity: float, rows: int, recall: float = RECALL, seed: int = 17) -> tuple[list[np.ndarray], int]:
+    """Random bit positions of each table, and the radius within which a pair is a candidate.
+
+    Shards hold about 16 of ``rows`` fingerprints. The radius leaves out one in 200 of the pairs at just the similarity,
+    whatever their sizes, and there are as many tables as bring ``recall`` of them together: both are solved
+    over simulated distances and not over the expected one.
+    """
+    size = min(40, max(8, round(math.log2(max(rows, 1) / 16 + 1))))
+    distances = _pairs_at(similarity, bits)
+    radius = max(int(np.quantile(d, 0.995)) for d in distances)
+    tables, rng = 1, np.random.default_rng(seed)
+    while min(candidate_recall(d, bits, size, tables, radius) for d in distances) < recall:
+        tables = tables + 1 + tables // 50
+    return [rng.choice(bits, size, replace=False) for _ in range(tables)], radius
 
 
 class BKTree:
@@ -386,6 +427,25 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return map_arrow(texts, "node long, shingles binary", rows)
 
 
+def one_more(sets: DataFrame) -> DataFrame:
+    """``(a, b)`` of the nodes of ``(node, shingles)`` of which one is the other and one shingle more: each set against all sets less a shingle."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out: dict[str, list] = {"node": [], "key": [], "whole": []}
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                parts = [data] + [data[:k] + data[k + 8 :] for k in range(0, len(data), 8) if len(data) > 8]
+                out["node"] += [node] * len(parts)
+                out["key"] += [xxhash.xxh3_128_digest(p) for p in parts]
+                out["whole"] += [True] + [False] * (len(parts) - 1)
+            yield out
+
+    keyed = stored(map_arrow(sets.select("node", "shingles"), "node long, key binary, whole boolean", rows), "simhash-one-more")
+    less = keyed.where("not whole").select(F.col("node").alias("other"), "key")
+    met = keyed.where("whole").join(less, "key")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` ``(a, b)`` whose shingle sets have that Jaccard similarity, or more."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
@@ -411,18 +471,19 @@ def _similar_kept(marked: DataFrame, docs: DataFrame, words: int, similarity: fl
     Nodes are the distinct shingle sets, numbered as they are stored, so rows that
     share an id but not a text are in groups of their own.
     """
-    share = differing_share(similarity)
-    radius = round(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
     kinds = marked.groupBy("set_key", "fp", "size").agg(F.min(_first_row("doc_id", "text_key")).alias("first"))
     distinct = stored(kinds.select(F.monotonically_increasing_id().alias("node"), "fp", "size", "first"), "simhash-distinct")
     labelled = distinct.select("node", "fp", "size", F.col("node").alias("label"))
-    tables = sampled_tables(bits, similarity, distinct.count())
+    tables, radius = sampled_tables(bits, similarity, distinct.count())
     first = stored(spanning_candidates(labelled, tables, radius, similarity, shard_rows), "simhash-candidates")
-    met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    few = F.col("size").between(1, small_sets(similarity))
+    met = first.select(F.col("a").alias("node")).union(first.select("b")).union(distinct.where(few).select("node")).distinct()
     wanted = distinct.join(met, "node").select("node", "first.*")
     keyed = docs.select(_first_row("doc_id", "text_key").alias("first"), "text").select("first.*", "text")
     texts = keyed.join(wanted, ["absent", "id", "text_key"]).select("node", "text")
     sets = stored(shingle_sets(texts, words).dropDuplicates(["node"]), "simhash-sets")
+    # pairs that differ by one shingle are many from one small set only where they all link to it, so they are written
+    first = first.union(one_more(sets.join(distinct.where(few).select("node"), "node")))
     found = stored(similar(first, sets, similarity), "simhash-links")
     groups = components(found)
     # a node without any candidate in the first round has none in the second
@@ -458,9 +519,8 @@ def one_of_each_group(
     """One row of ``docs`` for each group of texts of that similarity or more: that with the smallest id.
 
     Two texts link if the Jaccard similarity of their distinct shingles is
-    ``similarity`` or more; texts without shingles are alike. Candidates differ in no
-    more fingerprint bits than the similarity lets expect, and ``DEVIATIONS`` standard
-    deviations. Rows that share an id are grouped by their own texts; rows without an
+    ``similarity`` or more; texts without shingles are alike. Of the pairs at just the
+    similarity ``RECALL`` are candidates, of nearer ones more (``sampled_tables``). Rows that share an id are grouped by their own texts; rows without an
     id come after all others; of equal rows one stays. All columns stay, whatever their names.
     """
     marked = stored(fingerprints(docs, words, bits, True, id_column, text_column, distinct=True), "simhash")

@@ -1,9 +1,13 @@
 """What must hold at sizes beyond any fixture: recall of the forest, bytes that reach the driver."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from hoplattice.llm import embedding_dedup, lm
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from hoplattice.llm import bpe, embedding_dedup, lm, simhash_dedup, votes
 
 RNG = np.random.default_rng(12)
 
@@ -84,3 +88,64 @@ def test_op8_long_words_stay_in_spark_and_scores_are_right(spark):
     for k, t in rows:
         base = sum(np.log10((c[w] + 1) / (n + 5)) for w in t.split()) + np.log10((len(trained) + 1) / (n + 5))
         assert got[k]["n_known"] == len(t.split()) + 1 and abs(got[k]["base_score"] - base) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [10_000, 1_000_000, 1_000_000_000])
+def test_pipeline_recall_at_just_the_similarity_holds_at_every_size(rows):
+    """Pairs of fingerprints made by the repository's own votes, of sets that no table was solved on."""
+    tables, radius = simhash_dedup.sampled_tables(256, 0.8, rows)
+    for common, left, right in ((160, 20, 20), (160, 0, 40), (80, 10, 10), (16, 2, 2), (16, 0, 4), (8, 1, 1), (8, 0, 2)):
+        n, met = 300, 0
+        sets = RNG.integers(0, 1 << 63, (n, common + left + right), dtype=np.uint64)
+        bits = []
+        for own in (np.r_[0 : common + left], np.r_[0:common, common + left : common + left + right]):
+            hashes = sets[:, own]
+            flat = np.concatenate([hashes.ravel(), hashes.min(axis=1)])
+            group = np.concatenate([np.repeat(np.arange(n), len(own)), np.arange(n)])
+            weight = np.concatenate([np.ones(n * len(own)), np.full(n, 0.5)])
+            words = [votes.majority(votes.ones(group, simhash_dedup._mixed(flat, k), n, weight), np.full(n, len(own) + 0.5)) for k in range(4)]
+            bits.append(np.unpackbits(np.stack(words, axis=1).astype(">u8").view(np.uint8).reshape(n, -1), axis=1))
+        differ = bits[0] != bits[1]
+        agree = np.zeros(n, bool)
+        for places in tables:
+            agree |= ~differ[:, places].any(axis=1)
+        met = (agree & (differ.sum(axis=1) <= radius)).mean()
+        assert met >= 0.93, (common, left, right, met)  # 0.96 less what 300 pairs may be off
+
+
+def test_pipeline_small_sets_are_met_exactly(spark):
+    """All texts of up to 13 words that differ by a word at either end: sets of up to 9 shingles."""
+    texts = [" ".join(f"w{j}" for j in range(a, a + n)) for a in range(3) for n in range(1, 14)] + ["x " * 40, "x " * 60]
+    shingles = [{" ".join(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for t in texts]
+    link = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(shingles):
+            root[i] = min(root[j] for j, b in enumerate(shingles) if link(a, b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash_dedup.one_of_each_group(docs).collect()) == sorted(set(root))
+
+
+def test_small_sets_bound():
+    assert simhash_dedup.small_sets(0.8) == 9 and simhash_dedup.small_sets(0.5) == 3
+    for similarity in (0.8, 0.5, 0.75, 0.9):
+        n = simhash_dedup.small_sets(similarity)
+        assert all(u - 2 < similarity * u - 1e-9 for u in range(2, n + 1)) and n + 1 - 2 >= similarity * (n + 1) - 1e-9
+
+
+def test_op2_a_long_word_in_every_text_is_spread(spark):
+    """One word of 200 characters in 400 texts, half of them copies: no task holds most of its places."""
+    word = "q" * 200
+    rows = [(k, f"{word} common words" if k % 2 else f"common {word} number{k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    library.no_truncation()
+    library.no_padding()
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs).collect()}
+    assert all(got[k] == library.encode(t, add_special_tokens=False).ids for k, t in rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in bpe.encode(docs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 200

@@ -75,8 +75,9 @@ def node_forms(text: pd.Series) -> pd.Series:
 
 
 def occurs(form: Column, text: Column) -> Column:
-    """Whether the form stands in the text with no word character beside it."""
-    return F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), form, F.lit(r"\E(?!\w)")))
+    """Whether the form stands in the text with no word character beside it; a form is never read as a pattern."""
+    quoted = F.replace(form, F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # an end of quoting within the form is quoted by itself
+    return F.rlike(text, F.concat(F.lit(r"(?U)(?<!\w)\Q"), quoted, F.lit(r"\E(?!\w)")))
 
 
 _MENTION = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]))

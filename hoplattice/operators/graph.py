@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoplattice.operators.rank import min_max, rounded, top_k
+from hoplattice.operators.ordered import placed
+from hoplattice.operators.rank import rounded, top_k
 from hoplattice.operators.vector import sampled_dots
 from hoplattice.sources.tables import small, stored
 
@@ -31,15 +32,11 @@ def weights(incidence: DataFrame) -> DataFrame:
 def node_ids(mentions: DataFrame) -> DataFrame:
     """Dense ids of distinct ``(type, form)`` in order, empty forms left out.
 
-    Forms are dealt into ranges; ids are each range's offset plus the place within
-    it, so no window runs over all forms.
+    Forms are dealt into ranges of the whole form; ids are each range's offset plus the place within
+    it, so no window runs over all forms, nor over those that begin alike.
     """
     forms = mentions.where("form <> ''").select("type", "form").distinct()
-    bounds = forms.withColumn("bucket", F.concat("type", F.lit("\u0000"), F.substring("form", 1, 2)))
-    sizes = bounds.groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("form"))
-    return bounds.join(small(offsets), "bucket").select((F.col("before") + place - 1).alias("node_id"), "type", "form")
+    return placed(forms, F.col("type"), F.col("form")).select(F.col("place").alias("node_id"), "type", "form")
 
 
 def _scored(seeds: DataFrame, incidence: DataFrame, extra: list[Column]) -> DataFrame:

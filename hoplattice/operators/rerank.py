@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.functions.text import dense_rank_class
-from hoplattice.operators.rank import top_k, with_rank
+from hoplattice.operators.rank import rounded, top_k, with_rank
+from hoplattice.operators.vector import projected, sampled_dots
+from hoplattice.sources.tables import stored
 
 
 def pool(lists: DataFrame, depth: int = 100) -> DataFrame:
@@ -71,3 +74,15 @@ def judged_by_overlap(pairs: DataFrame) -> DataFrame:
 def top_pool(pooled: DataFrame, k: int) -> DataFrame:
     """The pool's first k of each question."""
     return top_k(pooled.withColumn("score", -F.col("best_rank")), k)
+
+
+def two_tower(pairs: DataFrame, questions: DataFrame, units: DataFrame, question_tower: np.ndarray, unit_tower: np.ndarray, scale: float) -> DataFrame:
+    """``(qid, unit_id, judge)``: scaled inner products of both sides' projections, for the given pairs.
+
+    Units are projected once each and stored; pairs are scored where the units lie. A logit that is not finite is an error.
+    """
+    z = stored(projected(units, unit_tower, "unit_id"), "unit-tower")
+    sims = sampled_dots(pairs, projected(questions, question_tower, "qid"), z, digits=12)
+    sound = ~F.isnan("sim") & (F.abs("sim") < float("inf"))
+    logit = rounded(F.lit(float(scale)) * F.col("sim"))
+    return sims.select("qid", "unit_id", F.when(sound, logit).otherwise(F.raise_error(F.lit("a logit is not finite")).cast("double")).alias("judge"))

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hoplattice.operators.ordered import placed, ranked
 from hoplattice.operators.rank import top_k
-from hoplattice.sources.tables import Pieces
+from hoplattice.sources.tables import Pieces, stored
 
 #: Queries of one block; a block's vectors are what is broadcast.
 BLOCK = 2_048
@@ -120,3 +121,81 @@ def hashed_vectors(texts: DataFrame, dimension: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("content_id"), flat], ["content_id", "v"])
 
     return texts.select("content_id", "text").mapInArrow(encoded, "content_id string, v array<double>")
+
+
+def full_order(queries: DataFrame, units: DataFrame, digits: int = 6) -> DataFrame:
+    """``(qid, unit_id, score, rank)`` of every unit for each query, its own id left out: the whole order, for queries few enough that it is wanted.
+
+    A query's order lies in as many ranges as it fills; no task holds it whole.
+    """
+    spark = units.sparkSession
+    asked = queries.select("qid", F.col("v").cast("array<double>").alias("v")).toLocalIterator()
+    out = Pieces(spark, "qid long, unit_id long, score double", "full-order")
+    while block := list(islice(asked, BLOCK)):
+        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in block]), np.array([r["v"] for r in block], float)))
+
+        def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1_024):
+                    part = batch.slice(k, 1_024)
+                    unit = np.array(part.column("unit_id"))
+                    scores = np.round(np.asarray(part.column("v").flatten(), float).reshape(len(unit), -1) @ q.T, digits) + 0.0
+                    row, column = np.nonzero(unit[:, None] != qids[None, :])
+                    yield pa.RecordBatch.from_pydict({"qid": qids[column], "unit_id": unit[row], "score": scores[row, column]})
+
+        out.add(units.select("unit_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(scored, "qid long, unit_id long, score double"))
+    return ranked(out.read(), "qid", F.desc("score"), F.asc("unit_id"))
+
+
+def nested_topk(queries: DataFrame, units: DataFrame, sizes: tuple[int | None, ...], *order: Column, k: int = 100, digits: int = 6) -> DataFrame:
+    """``(size, qid, unit_id, score, rank)``: the top ``k`` over each prefix of the units in a frozen order, in one pass.
+
+    ``sizes`` ascend, None for all. A unit carries the smallest prefix that holds it. Tasks take the prefixes in turn, each
+    among what the one before kept and its own new units: what isn't among the first ``k`` of its own
+    prefix is in no larger one's, and isn't written. Corpora are nested by construction.
+    """
+    if any(a is None or (b is not None and b <= a) for a, b in zip(sizes, sizes[1:], strict=False)):
+        raise ValueError(f"sizes do not ascend: {sizes}")
+    spark = units.sparkSession
+    bounds = np.array([np.iinfo(np.int64).max if s is None else s for s in sizes], np.int64)
+    listed = stored(placed(units.select("unit_id", F.col("v").cast("array<double>").alias("v")), *order).where(F.col("place") < int(bounds[-1])), "prefixes")
+    asked = queries.select("qid", F.col("v").cast("array<double>").alias("v")).toLocalIterator()
+    out = Pieces(spark, "size int, qid long, unit_id long, score double, rank int", "nested")
+    while block := list(islice(asked, BLOCK)):
+        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in block]), np.array([r["v"] for r in block], float)))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                unit, level = np.array(batch.column("unit_id")), np.searchsorted(bounds, np.array(batch.column("place")), "right")
+                scores = np.round(np.asarray(batch.column("v").flatten(), float).reshape(len(unit), -1) @ q.T, digits) + 0.0
+                for j in range(len(qids)):
+                    kept, new = np.zeros(0, np.int64), []
+                    for own in np.unique(level):
+                        among = np.concatenate([kept, np.flatnonzero((level == own) & (unit != qids[j]))])
+                        kept = among[np.lexsort((unit[among], -scores[among, j]))[:k]]
+                        new.append(kept[level[kept] == own])
+                    keep = np.concatenate(new)
+                    yield pa.RecordBatch.from_pydict({"level": level[keep], "qid": np.full(len(keep), qids[j]), "unit_id": unit[keep], "score": scores[keep, j]})
+
+        found = listed.mapInArrow(best, "level long, qid long, unit_id long, score double")
+        size = F.explode(F.sequence(F.col("level").cast("int"), F.lit(len(sizes) - 1)))
+        out.add(top_k(found.select(size.alias("size"), "qid", "unit_id", "score"), k, ("size", "qid")).select("size", "qid", "unit_id", "score", "rank"))
+    names = F.element_at(F.array(*(F.lit(s).cast("int") for s in sizes)), F.col("size") + 1)
+    return out.read().withColumn("size", names)
+
+
+def projected(vectors: DataFrame, matrix: np.ndarray, key: str) -> DataFrame:
+    """``(key, v)``: unit vectors of ``matrix`` times each vector; a projection to zero stays zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.asarray(batch.column("v").flatten(), float).reshape(batch.num_rows, matrix.shape[1]) @ matrix.T
+            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+            flat = pa.ListArray.from_arrays(np.arange(0, z.size + 1, matrix.shape[0], dtype=np.int32), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), flat], [key, "v"])
+
+    return vectors.select(key, F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"{key} {dict(vectors.dtypes)[key]}, v array<double>")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoplattice.functions import text as fn
-from hoplattice.operators import corpus, pack, rank
+from hoplattice.operators import corpus, ordered, pack, rank
 from hoplattice.plans import inputs
 from hoplattice.sources import files
 from hoplattice.sources.tables import table
@@ -139,11 +139,15 @@ def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.newest(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("a22_set_digest", "SELECT source, sha1(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS digest, count(*) AS n FROM documents GROUP BY source")
-def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.set_digest(_docs(spark, sf_dir), "doc_id", "source")
+_RUNS = f"""WITH lines AS (SELECT source, CAST(doc_id AS VARCHAR) AS line, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS place FROM documents),
+runs AS (SELECT source, place // {ordered.FAN} AS place, sha1(string_agg(line, chr(10) ORDER BY place)) AS line, count(*) AS n FROM lines GROUP BY source, place // {ordered.FAN}),
+upper_runs AS (SELECT source, place // {ordered.FAN} AS place, sha1(string_agg(line, chr(10) ORDER BY place)) AS line, sum(n) AS n FROM runs GROUP BY source, place // {ordered.FAN})
+SELECT source, sha1(string_agg(line, chr(10) ORDER BY place)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM upper_runs GROUP BY source"""
 
 
+@query("a22_set_digest", _RUNS)
+def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.digest_tree(_docs(spark, sf_dir), "source", F.col("doc_id"))
 @query("j2_resolve_titles", r"WITH c AS (SELECT item_id AS unit_id, lower(text) AS title FROM benchmark), w AS (SELECT DISTINCT text AS title FROM benchmark), e AS (SELECT title, min(unit_id) AS ei, count(*) AS en FROM c GROUP BY 1), l AS (SELECT lower(trim(regexp_replace(title, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS nm, min(unit_id) AS li, count(*) AS ln FROM c GROUP BY 1) SELECT sha256(w.title) AS title_sha, CASE WHEN en = 1 THEN ei WHEN en IS NULL AND ln = 1 THEN li END AS unit_id, CASE WHEN en = 1 THEN 'exact' WHEN en > 1 THEN 'ambiguous' WHEN ln = 1 THEN 'normalized' WHEN ln > 1 THEN 'ambiguous' ELSE 'unmatched' END AS how FROM w LEFT JOIN e USING (title) LEFT JOIN l ON nm = lower(trim(regexp_replace(w.title, '[ \t\n\r\f\v]+', ' ', 'g'), ' '))")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = table(spark, sf_dir, "benchmark")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplattice.operators import fusion, graph, grids, mentions, metrics, product, seeds, vector
+from hoplattice.operators import fusion, graph, grids, mentions, metrics, product, rerank, seeds, vector
 from hoplattice.plans import fragments as sql
 from hoplattice.plans import inputs, retrieval
 from hoplattice.sources.cache import ContentCache, content_key
@@ -332,3 +333,47 @@ def m6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = inputs.tokens(spark, sf_dir).join(small(units), "unit_id", "left_semi")
     tallied = product.outcomes(lists, _TRIPLE, product.weights_of(_TRIPLE), gold, tokens=tokens, budgets=metrics.BUDGETS)
     return product.summary(tallied, counts)
+
+
+# --- whole orders, nested corpora, a two-tower judge ------------------------------------------------------------
+
+
+@query("r7_full_order", f"WITH {sql.DENSE.replace(' QUALIFY rank <= 100', '')} SELECT qid, unit_id, score, rank FROM dense")
+def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector for each vector whose id is divisible by 100."""
+    units = inputs.vectors(spark, sf_dir)
+    return vector.full_order(units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("qid"), "v"), units).select("qid", "unit_id", "score", "rank")
+
+
+#: Prefixes of the vectors in the order of a hash of their id.
+SIZES = (100, 200, 400, None)
+_NESTED = f"""WITH placed AS (SELECT *, row_number() OVER (ORDER BY sha1('42:' || vec_id), vec_id) - 1 AS place FROM embeddings), sizes(size) AS (VALUES {', '.join(f'({s or ALL})' for s in SIZES)})
+SELECT size, qid, unit_id, score, row_number() OVER (PARTITION BY size, qid ORDER BY score DESC, unit_id) AS rank FROM (SELECT size, q.vec_id AS qid, u.vec_id AS unit_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])), 6) AS score
+FROM sizes, embeddings q JOIN placed u ON q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id WHERE size = {ALL} OR place < size) QUALIFY rank <= 20"""
+
+
+@query("w5_nested_topk", _NESTED)
+def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty over each prefix of the corpus, the whole corpus included."""
+    units = inputs.vectors(spark, sf_dir)
+    frozen = F.sha1(F.concat(F.lit("42:"), F.col("unit_id").cast("string")))
+    found = vector.nested_topk(units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("qid"), "v"), units, SIZES, frozen, F.col("unit_id"), k=20)
+    return found.select(F.coalesce("size", F.lit(ALL)).alias("size"), "qid", "unit_id", "score", "rank")
+
+
+#: A fixed projection of 64 dimensions to 16 for each side, and the logits' scale.
+_TOWERS, _SCALE = [np.cos(np.outer(np.arange(1, 17) + shift, np.arange(1, 65))) for shift in (0, 16)], 12.0
+_JUDGE = f"""WITH {sql.DENSE}, tower AS (SELECT side, vec_id, i, sum(cos((i + side) * j) * CAST(embedding[j] AS DOUBLE)) AS z FROM embeddings, (VALUES (0), (16)) s(side), range(1, 17) a(i), range(1, 65) b(j) GROUP BY ALL),
+lengths AS (SELECT side, vec_id, sqrt(sum(z * z)) AS l FROM tower GROUP BY side, vec_id)
+SELECT qid, unit_id, judge, row_number() OVER (PARTITION BY qid ORDER BY judge DESC, place) AS rank FROM (SELECT qid, unit_id, d.rank AS place, round({_SCALE} * sum(q.z * u.z / lq.l / lu.l), 6) AS judge FROM dense d
+JOIN tower q ON q.side = 0 AND q.vec_id = qid JOIN tower u ON u.side = 16 AND u.vec_id = unit_id AND u.i = q.i JOIN lengths lq ON lq.side = 0 AND lq.vec_id = qid JOIN lengths lu ON lu.side = 16 AND lu.vec_id = unit_id GROUP BY qid, unit_id, d.rank)"""
+
+
+@query("q3_two_tower_judge", _JUDGE)
+def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense lists put into the order of a two-tower judge with a fixed projection."""
+    units = inputs.vectors(spark, sf_dir).select("unit_id", "v")
+    questions = units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("qid"), "v")
+    first = vector.dense_topk(questions, units)
+    judged = rerank.two_tower(first.select("qid", "unit_id"), questions, units, *_TOWERS, scale=_SCALE)
+    return rerank.reorder(first, judged).select("qid", "unit_id", "judge", "rank")

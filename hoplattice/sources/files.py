@@ -56,12 +56,6 @@ def table_digest(df: DataFrame, key: str) -> str:
     return f"{key}:{total[0]}:{(total[1] or 0) & 0xFFFFFFFFFFFFFFFF:016x}:{total[2] or 0}"
 
 
-def set_digest(df: DataFrame, id_column: str, by: str) -> DataFrame:
-    """sha1 over the sorted ids of each group, one per line; for sets whose ids fit in a row."""
-    ids = F.array_sort(F.collect_list(F.col(id_column).cast("string")))
-    return df.groupBy(by).agg(F.sha1(F.array_join(ids, "\n")).alias("digest"), F.count("*").alias("n"))
-
-
 def newest(results: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of each key."""
     rest = [c for c in results.columns if c not in keys]

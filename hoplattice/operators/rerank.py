@@ -86,3 +86,51 @@ def two_tower(pairs: DataFrame, questions: DataFrame, units: DataFrame, question
     sound = ~F.isnan("sim") & (F.abs("sim") < float("inf"))
     logit = rounded(F.lit(float(scale)) * F.col("sim"))
     return sims.select("qid", "unit_id", F.when(sound, logit).otherwise(F.raise_error(F.lit("a logit is not finite")).cast("double")).alias("judge"))
+
+
+def bounded_rank_split(candidate: DataFrame, control: DataFrame, dense: DataFrame) -> DataFrame:
+    """Where the gold that changed coverage stood in the dense list, bounded from totals alone: rows ``won``, ``lost`` and ``total``.
+
+    ``candidate`` and ``control`` are ``(qid, units, gold_recall, full_support, context_precision)``, ``dense`` ``(qid, recall_10)``.
+    A question counts if one side alone has full support. The winner's totals give the number of gold units, the loser's
+    recall how many of them changed, the dense recall how many stand in its first ten: changed ones that must be among these are
+    ``in_10``, those that can't be ``beyond_10``, the rest ``undetermined``. Unlike question sets are an error.
+    """
+    side = lambda df, p: df.select("qid", *(F.col(c).alias(f"{p}_{c}") for c in ("units", "gold_recall", "full_support", "context_precision")))
+    both = side(candidate, "a").join(side(control, "b"), "qid", "full").join(dense.select("qid", F.col("recall_10").alias("d")), "qid", "full")
+    both = stored(both, "outcomes")
+    lacking = both.where("a_units IS NULL OR b_units IS NULL OR d IS NULL").select("qid").first()
+    if lacking:
+        raise ValueError(f"a run lacks question {lacking['qid']}")
+    apart = both.where("a_full_support <> b_full_support")
+    won = F.col("a_full_support") == 1
+    pick = lambda c, winner: F.when(won if winner else ~won, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    whole = lambda c: F.round(c).cast("long")
+    counted = apart.select(won.alias("won"), "d", whole(pick("context_precision", True) * pick("units", True)).alias("gold"), pick("gold_recall", False).alias("kept"))
+    counted = counted.withColumns({"changed": whole(F.col("gold") * (1 - F.col("kept"))), "top": whole(F.col("gold") * F.col("d"))})
+    surely, maybe = F.greatest(F.lit(0), F.col("top") - (F.col("gold") - F.col("changed"))), F.least("changed", "top")
+    bounded = counted.select("won", "changed", surely.alias("in_10"), (F.col("changed") - maybe).alias("beyond_10"), (maybe - surely).alias("undetermined"))
+    rows = bounded.withColumn("outcome", F.explode(F.array(F.when(F.col("won"), "won").otherwise("lost"), F.lit("total"))))
+    names = ("changed", "in_10", "beyond_10", "undetermined")
+    return rows.groupBy("outcome").agg(F.count("*").alias("questions"), *(F.sum(n).alias(n) for n in names))
+
+
+def pilot(first: DataFrame, gold: DataFrame, depth: int = 10) -> DataFrame:
+    """``(qid, p1, unit_id)``: gold that a list's first ``depth`` units miss, with the list's first unit; questions that miss none are no pilots."""
+    read = first.where(F.col("rank") <= depth)
+    missing = gold.select("qid", "unit_id").distinct().join(read.select("qid", "unit_id"), ["qid", "unit_id"], "left_anti")
+    return missing.join(read.where("rank = 1").select("qid", F.col("unit_id").alias("p1")), "qid").select("qid", "p1", "unit_id")
+
+
+def navigation(arms: DataFrame, missing: DataFrame, depths: tuple[int, ...] = (10, 100)) -> DataFrame:
+    """Per arm: missing units and questions, and at each depth the units found and the questions with one; all arms in one join.
+
+    ``arms(arm, qid, unit_id, rank)``; an arm that finds nothing has a row of zeros.
+    """
+    wanted = missing.select("qid", "unit_id").distinct()
+    names = arms.select("arm").distinct()
+    found = arms.join(wanted, ["qid", "unit_id"]).select("arm", "qid", "unit_id", "rank")
+    within = lambda k: F.col("rank") <= k
+    tallies = [c for k in depths for c in (F.sum(within(k).cast("long")).alias(f"found_{k}"), F.count_distinct(F.when(within(k), F.col("qid"))).alias(f"questions_{k}"))]
+    totals = wanted.agg(F.count("*").alias("missing"), F.count_distinct("qid").alias("questions"))
+    return names.crossJoin(F.broadcast(totals)).join(found.groupBy("arm").agg(*tallies), "arm", "left").fillna(0)

@@ -185,6 +185,19 @@ def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.statistics(_walked(spark, sf_dir, "symmetric")[0])
 
 
+_TRACE = " UNION ALL ".join(f"SELECT qid, {k} AS round, change, node_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id) AS rank FROM (SELECT qid, round(d, 8) AS change, node_id, round(c, 8) AS score FROM n{k} JOIN (SELECT qid, sum(abs(mass - od)) AS d FROM m{k} GROUP BY qid) USING (qid)) WHERE score > 0 QUALIFY rank <= 10" for k in range(1, 6))
+
+
+@query("g7_trace", _walk_sql("symmetric", _TRACE))
+def g7_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round by round: how far each query's masses moved, and the ten nodes that most mass moved through."""
+    x, p1 = _parts(spark, sf_dir)
+    seeds = walk.seed_mass(p1.withColumn("score", F.lit(1.0)))
+    trace = walk.new_trace(seeds, x)
+    walk.walk(seeds, x, 0.5, "symmetric", trace=trace)
+    return trace.read()
+
+
 @query("g7_entering_units", _walk_sql("symmetric", "SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) AS rank FROM (SELECT qid, unit_id, round(mass - CASE WHEN qid = unit_id THEN 1 ELSE 0 END, 8) AS score FROM st5) WHERE score > 0 QUALIFY rank <= 10"))
 def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.entering(*_walked(spark, sf_dir, "symmetric"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplattice.operators import fusion, graph, grids, mentions, metrics, product, rerank, seeds, vector
+from hoplattice.operators import fusion, graph, grids, mentions, metrics, product, rank, rerank, seeds, vector
 from hoplattice.plans import fragments as sql
 from hoplattice.plans import inputs, retrieval
 from hoplattice.sources.cache import ContentCache, content_key
@@ -377,3 +377,60 @@ def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = vector.dense_topk(questions, units)
     judged = rerank.two_tower(first.select("qid", "unit_id"), questions, units, *_TOWERS, scale=_SCALE)
     return rerank.reorder(first, judged).select("qid", "unit_id", "judge", "rank")
+
+
+# --- bounds from totals, pilots and navigation ------------------------------------------------------------------
+
+_BOUNDS = f"""WITH RECURSIVE {sql.LISTS} {sql.GOLD} {sql.packed('ctx', 'rrf')} {sql.outcomes('out', 'ctx')} {sql.packed('ctx_b', 'shared')} {sql.outcomes('out_b', 'ctx_b')},
+top_ten AS (SELECT qid, CASE WHEN n_gold > 0 THEN (SELECT count(*) FROM bm25 JOIN qrels USING (qid, unit_id) WHERE bm25.qid = gold.qid AND rank <= 10) / n_gold ELSE 0.0 END AS d FROM gold),
+apart AS (SELECT a.full_support = 1 AS won, d, CASE WHEN a.full_support = 1 THEN a.context_precision * a.units ELSE b.context_precision * b.units END AS g, CASE WHEN a.full_support = 1 THEN b.gold_recall ELSE a.gold_recall END AS kept FROM out a JOIN out_b b USING (qid, budget) JOIN top_ten USING (qid) WHERE budget = 1024 AND a.full_support <> b.full_support),
+counted AS (SELECT won, g, CAST(round(g * (1 - kept)) AS BIGINT) AS changed, CAST(round(g * d) AS BIGINT) AS top FROM (SELECT won, d, kept, CAST(round(g) AS BIGINT) AS g FROM apart)),
+bounded AS (SELECT won, changed, greatest(0, top - (g - changed)) AS surely, least(changed, top) AS maybe FROM counted)
+SELECT outcome, count(*) AS questions, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(surely) AS BIGINT) AS in_10, CAST(sum(changed - maybe) AS BIGINT) AS beyond_10, CAST(sum(maybe - surely) AS BIGINT) AS undetermined FROM (SELECT *, unnest([CASE WHEN won THEN 'won' ELSE 'lost' END, 'total']) AS outcome FROM bounded) GROUP BY outcome"""
+
+
+@query("q9_bounded_split", _BOUNDS)
+def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal ranks against the overlap list at 1,024 tokens, bounded by BM25's recall in its first ten."""
+    lists = inputs.lists(spark, sf_dir)
+    overlap = rank.top_k(lists.where("component = 'overlap'").select("qid", "unit_id", "score"), 100)
+    first = rank.top_k(lists.where("component = 'bm25'").select("qid", "unit_id", "score"), 100)
+    at = lambda hits: inputs.outcomes(spark, sf_dir, hits).where("budget = 1024")
+    gold, counts = _answers(spark, sf_dir)
+    hits = gold.join(first.where("rank <= 10").select("qid", "unit_id"), ["qid", "unit_id"]).groupBy("qid").agg(F.count("*").alias("n"))
+    dense = counts.join(hits, "qid", "left").select("qid", F.when(F.col("n_gold") > 0, F.coalesce("n", F.lit(0)) / F.col("n_gold")).otherwise(0.0).alias("recall_10"))
+    return rerank.bounded_rank_split(at(fusion.rrf(lists)), at(overlap), dense)
+
+
+_V_MISSING = f"""gold AS ({_V_GOLD}), missing AS (SELECT qid, unit_id FROM gold WHERE (qid, unit_id) NOT IN (SELECT qid, unit_id FROM v_read))"""
+
+
+@query("h19_pilot_set", f"{_STAGE}, {_V_MISSING} SELECT m.qid, d.unit_id AS p1, m.unit_id FROM missing m JOIN dense d ON d.qid = m.qid AND d.rank = 1")
+def h19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the query's label that the dense list's first ten miss."""
+    units, _, queries = _vector_units(spark, sf_dir)
+    return rerank.pilot(vector.dense_topk(queries, units), _label_gold(spark, sf_dir))
+
+
+def _label_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other vector of the query's label: queries meet the vectors in a broadcast join where they are few."""
+    labels = inputs.vectors(spark, sf_dir).select("unit_id", "label")
+    asked = labels.where("unit_id % 100 = 0").select(F.col("unit_id").alias("qid"), "label")
+    return labels.join(small(asked), "label").where("qid <> unit_id").select("qid", "unit_id")
+
+
+_ARMS = "SELECT 'continue' AS arm, qid, unit_id, rank - 10 AS rank FROM dense WHERE rank > 10 UNION ALL SELECT 'relevance', qid, unit_id, rank FROM staged WHERE alpha = 0.5 UNION ALL SELECT 'rarity', qid, unit_id, rank FROM staged WHERE alpha = 0 UNION ALL SELECT 'nodes', qid, unit_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) FROM v_nodes"
+
+
+@query("h18_navigation", f"""{_STAGE}, {_V_NODES}, {_V_MISSING}, arms AS ({_ARMS}), hits AS (SELECT arm, arms.qid, arms.unit_id, rank FROM arms JOIN missing USING (qid, unit_id))
+SELECT arm, (SELECT count(*) FROM missing) AS missing, (SELECT count(DISTINCT qid) FROM missing) AS questions, count(*) FILTER (hits.rank <= 10) AS found_10, count(DISTINCT hits.qid) FILTER (hits.rank <= 10) AS questions_10, count(*) FILTER (hits.rank <= 100) AS found_100, count(DISTINCT hits.qid) FILTER (hits.rank <= 100) AS questions_100 FROM (SELECT DISTINCT arm FROM arms) LEFT JOIN hits USING (arm) GROUP BY arm""")
+def h18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four hops after the dense list's first ten, and what each finds of the gold that these miss."""
+    staged, first, nodes, queries = _stage(spark, sf_dir)
+    first = stored(first, "dense-list")
+    own = graph.node_hop(queries.select("qid", F.col("qid").alias("unit_id")), nodes)
+    part = lambda name, df: df.select(F.lit(name).alias("arm"), "qid", "unit_id", F.col("rank").cast("int").alias("rank"))
+    arms = part("continue", first.where("rank > 10").withColumn("rank", F.col("rank") - 10))
+    for name, df in (("relevance", staged.where("alpha = 0.5")), ("rarity", staged.where("alpha = 0")), ("nodes", own)):
+        arms = arms.unionByName(part(name, df))
+    return rerank.navigation(stored(arms, "arms"), stored(rerank.pilot(first, _label_gold(spark, sf_dir)), "pilot"))

@@ -96,3 +96,59 @@ def test_a_form_is_never_a_pattern(spark):
     forms = [("a\\Eb", "x a\\Eb y", True), ("a\\E.*", "x abc y", False), ("\\E", "\\E", True), ("\\Q.", "z", False), ("a.c", "abc", False), ("st. louis", "in st. louis now", True)]
     df = spark.createDataFrame(forms, "form string, text string, want boolean")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", text.occurs(F.col("form"), F.col("text"))).collect())
+
+
+def test_bounds_hold_the_true_split(spark):
+    """Enumeration: questions with known places; the bounds from totals hold what the places say."""
+    runs, truth = {"a": [], "b": [], "d": []}, {"won": [0, 0, 0], "lost": [0, 0, 0]}
+    for q in range(400):
+        n = int(RNG.integers(1, 6))
+        top = RNG.random(n) < 0.5  # gold in the dense list's first ten
+        held = RNG.random((2, n)) < 0.7
+        held[int(RNG.integers(0, 2))] = True
+        for name, mine in zip("ab", held, strict=True):
+            units = int(mine.sum() + RNG.integers(0, 4))
+            runs[name].append((q, units, float(mine.mean()), int(mine.all()), float(mine.sum() / units) if units else 0.0))
+        runs["d"].append((q, float(top.mean())))
+        if held[0].all() != held[1].all():
+            changed = ~held[1] if held[0].all() else ~held[0]
+            t = truth["won" if held[0].all() else "lost"]
+            t[0] += int(changed.sum())
+            t[1] += int((changed & top).sum())
+            t[2] += int((changed & ~top).sum())
+    schema = "qid int, units int, gold_recall double, full_support int, context_precision double"
+    a, b, d = spark.createDataFrame(runs["a"], schema), spark.createDataFrame(runs["b"], schema), spark.createDataFrame(runs["d"], "qid int, recall_10 double")
+    got = {r["outcome"]: r for r in rerank.bounded_rank_split(a, b, d).collect()}
+    for outcome, (changed, inside, beyond) in truth.items():
+        r = got[outcome]
+        assert r["changed"] == changed and r["in_10"] <= inside <= r["in_10"] + r["undetermined"] and r["beyond_10"] <= beyond <= r["beyond_10"] + r["undetermined"]
+    assert got["total"]["changed"] == truth["won"][0] + truth["lost"][0] and 0 < got["total"]["undetermined"] < got["total"]["changed"]
+    with pytest.raises(Exception, match="lacks question"):
+        rerank.bounded_rank_split(a, b.where("qid > 0"), d).collect()
+
+
+def test_pilots_and_navigation(spark):
+    first = spark.createDataFrame([(1, u, u) for u in range(1, 13)] + [(2, u, u) for u in range(1, 13)], "qid long, unit_id long, rank int")
+    gold = spark.createDataFrame([(1, 2), (1, 11), (1, 50), (2, 3)], "qid long, unit_id long")
+    missing = rerank.pilot(first, gold)
+    assert rows(missing, "qid", "p1", "unit_id") == [(1, 1, 11), (1, 1, 50)]
+    arms = spark.createDataFrame([("x", 1, 11, 1), ("x", 1, 50, 20), ("y", 1, 2, 1), ("y", 2, 50, 1)], "arm string, qid long, unit_id long, rank int")
+    got = rows(rerank.navigation(arms, missing), "arm", "missing", "questions", "found_10", "questions_10", "found_100", "questions_100")
+    assert got == [("x", 2, 1, 1, 1, 2, 1), ("y", 2, 1, 0, 0, 0, 0)]
+
+
+def test_walks_refuse_bad_seeds_and_leave_a_trace(spark):
+    x = spark.createDataFrame([("u0", "a", 2.0), ("u1", "a", 1.0), ("u1", "b", 1.0), ("u2", "b", 3.0)], "unit_id string, node_id string, w double")
+    seed = lambda *us: spark.createDataFrame([("q", u, 1.0 / len(us)) for u in us], "qid string, unit_id string, mass double")
+    for bad, said in ((seed("u0", "gone"), "unknown seed gone"), (seed("u0", "u0"), "twice")):
+        with pytest.raises(Exception, match=said):
+            walk.walk(bad, x, 0.5)
+    trace = walk.new_trace(seed("u0"), x)
+    walked = {r["unit_id"]: r["rounds"] for r in walk.walk(seed("u0"), x, 0.5, trace=trace, traced=1).collect()}
+    left = rows(trace.read(), "round", "node_id", "rank")
+    assert left == [(k, "a", 1) for k in range(1, max(walked.values()) + 1)]
+    change = [r["change"] for r in trace.read().orderBy("round").collect()]
+    assert change == sorted(change, reverse=True) and change[0] > 0
+    one = walk.config_digest(x, 0.5, "symmetric")
+    assert len(one) == 16 and one == walk.config_digest(x.repartition(3), 0.5, "symmetric")
+    assert len({one, walk.config_digest(x, 0.6, "symmetric"), walk.config_digest(x.withColumn("w", F.col("w") + 1), 0.5, "symmetric")}) == 3

@@ -237,8 +237,9 @@ def r6c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _space(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+    """512 atoms over 30 rounds, or half as many atoms as there are vectors where these are fewer than 1,024; near-equal ones merged."""
     units = inputs.vectors(spark, sf_dir).select("unit_id", "v")
-    return units, concepts.merged(concepts.induce(units, 16, rounds=3))
+    return units, concepts.merged(concepts.induce(units, max(1, min(512, units.count() // 2))))
 
 
 @query("c2_sparse_code")
@@ -257,4 +258,15 @@ def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c10_coherence")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, atoms = _space(spark, sf_dir)
-    return concepts.coherence(concepts.code_corpus(units, atoms, 0.05), units)
+    return concepts.quality(concepts.code_corpus(units, atoms, 0.05), units, atoms)
+
+
+_NULL = """WITH unit AS (SELECT vec_id AS unit_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM embeddings), pool AS (SELECT * FROM unit ORDER BY sha1('42:' || unit_id), unit_id LIMIT 5000),
+drawn AS (SELECT draw, unit_id FROM pool, range(200) t(draw) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY sha1('42:' || draw || ':' || unit_id), unit_id) <= 25),
+summed AS (SELECT draw, place, sum(x) AS s, count(*) AS n FROM (SELECT draw, generate_subscripts(embedding, 1) AS place, CAST(unnest(embedding) AS DOUBLE) / l AS x FROM drawn JOIN pool USING (unit_id)) GROUP BY draw, place)
+SELECT CAST(draw AS INTEGER) AS draw, max(n) AS n, round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 9) AS coherence FROM summed GROUP BY draw"""
+
+
+@query("c9_null_sets", _NULL)
+def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.null_sets(inputs.vectors(spark, sf_dir).select("unit_id", "v"))

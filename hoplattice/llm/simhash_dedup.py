@@ -47,7 +47,7 @@ from hoplattice.llm.common import chunk_pairs, map_arrow, shuffle_partitions, st
 from hoplattice.llm.components import components
 
 #: Share of the pairs at just the similarity that become candidates.
-RECALL = 0.96
+RECALL = 0.955
 _ROWS = 64
 _EPSILON = 1e-9  # similarities are quotients of whole numbers
 
@@ -137,18 +137,14 @@ def block_tables(bits: int, radius: int, rows: int, tree_rows: int = 512) -> lis
     return [np.concatenate(chosen) for chosen in combinations(blocks, agree)]
 
 
-def simulated_distances(common: int, left: int, right: int, bits: int, pairs: int = 600, seed: int = 23) -> np.ndarray:
+def simulated_distances(common: int, left: int, right: int, bits: int, pairs: int = 2_000, seed: int = 23) -> np.ndarray:
     """Differing bits of pairs of random shingle sets that share ``common`` shingles and have ``left`` and ``right`` of their own."""
     rng = np.random.default_rng(seed)
     own = [np.arange(common + left), np.append(np.arange(common), np.arange(common + left, common + left + right))]
     out = []
-    for _ in range(0, pairs, 50):
-        hashed = rng.integers(0, 2, (50, common + left + right, bits), dtype=np.uint8)
-        order = rng.random(hashed.shape[:2])
-        voted = []
-        for mine in own:
-            least = mine[order[:, mine].argmin(axis=1)]  # the smallest hash counts half more
-            voted.append(2 * hashed[:, mine].sum(axis=1) + hashed[np.arange(50), least] > len(mine) + 0.5)
+    for _ in range(0, pairs, 100):
+        hashed = rng.integers(0, 2, (100, common + left + right, bits), dtype=np.uint8)
+        voted = [2 * hashed[:, mine].sum(axis=1) > len(mine) for mine in own]
         out.append((voted[0] != voted[1]).sum(axis=1))
     return np.concatenate(out)
 
@@ -177,13 +173,13 @@ def candidate_recall(distances: np.ndarray, bits: int, size: int, tables: int, r
 def sampled_tables(bits: int, similarity: float, rows: int, recall: float = RECALL, seed: int = 17) -> tuple[list[np.ndarray], int]:
     """Random bit positions of each table, and the radius within which a pair is a candidate.
 
-    Shards hold about 16 of ``rows`` fingerprints. The radius leaves out one in 200 of the pairs at just the similarity,
+    Shards hold about 16 of ``rows`` fingerprints. The radius leaves out one in 60 of the pairs at just the similarity,
     whatever their sizes, and there are as many tables as bring ``recall`` of them together: both are solved
     over simulated distances and not over the expected one.
     """
     size = min(40, max(8, round(math.log2(max(rows, 1) / 16 + 1))))
     distances = _pairs_at(similarity, bits)
-    radius = max(int(np.quantile(d, 0.995)) for d in distances)
+    radius = max(round(float(np.quantile(d, 1 - 1 / 60))) for d in distances)
     tables, rng = 1, np.random.default_rng(seed)
     while min(candidate_recall(d, bits, size, tables, radius) for d in distances) < recall:
         tables = tables + 1 + tables // 50
@@ -523,7 +519,7 @@ def one_of_each_group(
     similarity ``RECALL`` are candidates, of nearer ones more (``sampled_tables``). Rows that share an id are grouped by their own texts; rows without an
     id come after all others; of equal rows one stays. All columns stay, whatever their names.
     """
-    marked = stored(fingerprints(docs, words, bits, True, id_column, text_column, distinct=True), "simhash")
+    marked = stored(fingerprints(docs, words, bits, False, id_column, text_column, distinct=True), "simhash")
     keyed = _keyed(docs, id_column, text_column)
     kept = _similar_kept(marked, keyed, words, similarity, bits, shard_rows)
     text = F.coalesce(F.col(text_column), F.lit(""))

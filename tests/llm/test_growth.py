@@ -100,17 +100,15 @@ def test_pipeline_recall_at_just_the_similarity_holds_at_every_size(rows):
         bits = []
         for own in (np.r_[0 : common + left], np.r_[0:common, common + left : common + left + right]):
             hashes = sets[:, own]
-            flat = np.concatenate([hashes.ravel(), hashes.min(axis=1)])
-            group = np.concatenate([np.repeat(np.arange(n), len(own)), np.arange(n)])
-            weight = np.concatenate([np.ones(n * len(own)), np.full(n, 0.5)])
-            words = [votes.majority(votes.ones(group, simhash_dedup._mixed(flat, k), n, weight), np.full(n, len(own) + 0.5)) for k in range(4)]
+            group = np.repeat(np.arange(n), len(own))
+            words = [votes.majority(votes.ones(group, simhash_dedup._mixed(hashes.ravel(), k), n), np.full(n, len(own))) for k in range(4)]
             bits.append(np.unpackbits(np.stack(words, axis=1).astype(">u8").view(np.uint8).reshape(n, -1), axis=1))
         differ = bits[0] != bits[1]
         agree = np.zeros(n, bool)
         for places in tables:
             agree |= ~differ[:, places].any(axis=1)
         met = (agree & (differ.sum(axis=1) <= radius)).mean()
-        assert met >= 0.93, (common, left, right, met)  # 0.96 less what 300 pairs may be off
+        assert met >= 0.92, (common, left, right, met)  # 0.955 less what 300 pairs may be off
 
 
 def test_pipeline_small_sets_are_met_exactly(spark):

@@ -11,8 +11,8 @@ its gaps. Which words are frequent decides what moves, never the result.
 Copies of a text in one batch travel as one row with all their ids. A text without
 gaps is sent to any partition, so copies that are frequent, whose words then are
 frequent too, do not meet in one task. Words of over ``HOT_LENGTH`` characters are never frequent, so one of them may be in every text:
-a text that has one is keyed together with a salt of its own id, and its long words with the same
-salt. Neither the word's places nor the text's copies meet in one task, and a long
+a text that has one is keyed together with a salt of its own id, and its long words are dealt by that
+key. Neither the word's places nor the text's copies meet in one task, and a long
 word is encoded once for each salt at most.
 
 Decoding: each id is joined to its piece through the id-to-piece table, whose size
@@ -192,11 +192,10 @@ def _encoded(source: DataFrame, tokenizer_text: str, schema: str, finisher: Call
         for batch in batches:
             texts = list(salted(batch))
             for k in range(0, len(texts), _ROWS):
-                out: dict[str, list] = {"word": [], "salt": [], "key": [], "place": []}
+                out: dict[str, list] = {"word": [], "key": [], "place": []}
                 for text, own_salt in texts[k : k + _ROWS]:
                     words = [w for w in wordtable.cut(text) if w not in frequent]
                     out["word"] += words
-                    out["salt"] += [own_salt if len(w) > HOT_LENGTH else 0 for w in words]
                     out["key"] += [key_of(text, own_salt)] * len(words)
                     out["place"] += range(len(words))
                 yield out
@@ -247,9 +246,11 @@ def _encoded(source: DataFrame, tokenizer_text: str, schema: str, finisher: Call
         if waiting:
             yield finished()
 
-    places = map_arrow(source, "word string, salt int, key binary, place int", rare)
+    places = map_arrow(source, "word string, key binary, place int", rare)
+    # a long word's rows are dealt by their text too, whose salted key spreads copies; no column travels for it
+    spread = F.when(F.length("word") > HOT_LENGTH, F.pmod(F.xxhash64("key"), F.lit(salts)))
     # a word's rows side by side in its partition: encoded once, never gathered
-    parts = _encoded_words(places.repartition("word", "salt").sortWithinPartitions("word").drop("salt"), tokenizer_text)
+    parts = _encoded_words(places.repartition("word", spread).sortWithinPartitions("word"), tokenizer_text)
     texts = map_arrow(source, f"key binary, place int, ids binary, n int, owners array<{kind}>", gapped)
     met = texts.unionByName(parts, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "place")
     return map_arrow(met, f"id {kind}, {schema}", assembled)

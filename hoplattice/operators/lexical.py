@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.operators.rank import top_k
-from hoplattice.sources.tables import spread, stored
+from hoplattice.sources.tables import Pieces, spread, stored
 
-#: Queries whose terms are broadcast, and scored side by side.
-BLOCK = 1_024
-_UNITS = 1_024
+#: Queries, and distinct terms of queries, that are broadcast and scored side by side.
+BLOCK, ENTRIES = 1_024, 4_000_000
+_UNITS, _PULLED = 1_024, 1 << 21
 
 # The ranking's constants and its English stop words.
 K1, B = 1.5, 0.75
@@ -51,16 +51,42 @@ def postings(docs: DataFrame, wanted: dict[str, int], id_column: str, text_colum
     return words.mapInArrow(counted, "unit_id long, dl int, term array<int>, tf array<int>")
 
 
-def _best(found: DataFrame, qids: list[int], rates: np.ndarray, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
+#: Rates by term: where each term's entries begin, their queries' places, and the rates; zeros are not held.
+Rates = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sparse(entries: list[tuple[int, int, float]], terms: int) -> Rates:
+    """``(term, place, rate)`` entries in the order of the terms."""
+    term, place, rate = (np.array(c, t) for c, t in zip(zip(*entries, strict=True), (np.int64, np.int64, float), strict=True)) if entries else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.lexsort((place, term))
+    return np.searchsorted(term[order], np.arange(terms + 1)), place[order], rate[order]
+
+
+def _blocks(asked: Iterator) -> Iterator[list[tuple[int, Counter]]]:
+    """``(qid, terms)`` in runs of ``BLOCK`` queries and ``ENTRIES`` distinct terms at most; a query beyond that is a run of its own."""
+    run: list[tuple[int, Counter]] = []
+    size = 0
+    for r in asked:
+        count = Counter(r["words"] or ())
+        if run and (len(run) == BLOCK or size + len(count) > ENTRIES):
+            yield run
+            run, size = [], 0
+        run.append((r["qid"], count))
+        size += len(count)
+    if run:
+        yield run
+
+
+def _best(found: DataFrame, qids: list[int], rates: Rates, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> DataFrame:
     """``(qid, unit_id, score)``: of each task's units the ``k`` best of each query, and what ties with the last.
 
     A unit's score is the sum over its terms of ``weight(tf, dl)`` times the term's
-    row of ``rates``; scores of 0 or less are left out.
+    entries of ``rates``; scores of 0 or less are left out.
     """
     shared = found.sparkSession.sparkContext.broadcast((np.array(qids, np.int64), rates))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, rate = shared.value
+        asked, (start, place, rate) = shared.value
         held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
         def cut() -> tuple[np.ndarray, ...]:
@@ -79,13 +105,15 @@ def _best(found: DataFrame, qids: list[int], rates: np.ndarray, weight: Callable
                 owner = np.repeat(np.arange(len(units)), n)
                 term, tf = (np.asarray(part.column(c).flatten()) for c in ("term", "tf"))
                 values = weight(tf.astype(float), np.asarray(part.column("dl"), float)[owner])
-                total = np.zeros((len(units), len(asked)))
-                some = np.flatnonzero(n)
-                if len(some):
-                    for j in range(0, len(asked), 64):  # a posting's row of 64 queries at a time
-                        pulled = values[:, None] * rate[term, j : j + 64]
-                        total[some, j : j + 64] = np.add.reduceat(pulled, (np.cumsum(n) - n)[some], axis=0)
-                score = np.round(total, 6)
+                total = np.zeros(len(units) * len(asked))
+                width = start[term + 1] - start[term]  # a posting meets its term's queries and no others
+                ends = np.cumsum(width)
+                cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, _PULLED), "right")
+                for a, b in pairwise([*cuts.tolist(), len(term)]):
+                    w = width[a:b]
+                    entry = np.repeat(start[term[a:b]] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+                    total += np.bincount(np.repeat(owner[a:b], w) * len(asked) + place[entry], np.repeat(values[a:b], w) * rate[entry], len(total))
+                score = np.round(total.reshape(len(units), len(asked)), 6)
                 unit, query = np.nonzero(score > 0)
                 new = (asked[query], units[unit], score[unit, query])
                 held = tuple(np.concatenate(pair) for pair in zip(held, new, strict=True))
@@ -101,23 +129,20 @@ def _ranked(queries: DataFrame, docs: DataFrame, k: int, id_column: str, text_co
     """Top ``k`` of each query, block by block; ``rate(qtf, df, n)`` of a term in a query, ``weight(tf, dl, mean length)`` of a posting."""
     spark = docs.sparkSession
     asked = queries.select("qid", terms(F.col("query")).alias("words")).toLocalIterator()
-    out = spark.createDataFrame([], "qid long, unit_id long, score double")
-    while block := list(islice(asked, BLOCK)):
-        counts = [Counter(r["words"] or ()) for r in block]
+    out = Pieces(spark, "qid long, unit_id long, score double, rank int", "lexical")
+    for block in _blocks(asked):
+        counts = [count for _, count in block]
         wanted = {w: number for number, w in enumerate(sorted(set().union(*counts)))}
         # both the frequencies and the scores read the postings, which are made once
         found = stored(postings(docs, wanted, id_column, text_column), "postings")
         total = found.agg(F.count("*").alias("n"), F.avg("dl").alias("length")).first()
         # one row a wanted term
         df = {r["t"]: r["df"] for r in found.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()}
-        rates = np.zeros((len(wanted), len(block)))
-        for j, count in enumerate(counts):
-            for word, qtf in count.items():
-                if wanted[word] in df:
-                    rates[wanted[word], j] = rate(qtf, df[wanted[word]], total["n"])
+        entries = [(wanted[w], j, rate(qtf, df[wanted[w]], total["n"])) for j, count in enumerate(counts) for w, qtf in count.items() if wanted[w] in df]
         mean = total["length"] or 1.0
-        out = out.unionByName(_best(found, [r["qid"] for r in block], rates, lambda tf, dl, mean=mean: weight(tf, dl, mean), k))
-    return top_k(out, k)
+        best = _best(found, [q for q, _ in block], _sparse(entries, len(wanted)), lambda tf, dl, mean=mean: weight(tf, dl, mean), k)
+        out.add(top_k(best, k).select("qid", "unit_id", "score", "rank"))
+    return out.read()
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hoplattice.operators import graph, metrics, pack, paired
 from hoplattice.operators.rank import top_k
-from hoplattice.sources.tables import small
+from hoplattice.sources.tables import small, stored
 
 
 def contexts(lists: DataFrame, tokens: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -155,3 +155,32 @@ def traces(first: DataFrame, plain: DataFrame, context: DataFrame, fused: DataFr
     none = F.array().cast(dict(nodes.dtypes)["nodes"])
     origin: Column = F.when(F.col("hop_rank").isNull(), "reorder").otherwise("hop")
     return met.join(nodes, ["qid", "unit_id"], "left").select("qid", "unit_id", origin.alias("origin"), "p1", "hop_rank", "score", "fused_rank", F.coalesce("nodes", none).alias("nodes"))
+
+
+def twin_gold(filled: DataFrame, systems: DataFrame, qrels: DataFrame, units: DataFrame) -> DataFrame:
+    """How far each system's support depends on which of several near-equal units counts as gold: a row a system.
+
+    ``filled(system, qid, unit_id)`` are contexts at one budget, ``units(unit_id, title, opening)``; units that share title and opening are
+    twins, and one without either has none. Gold units with a twin are counted as in the context, as replaced by a twin there
+    (``twin_instead``) or as neither; ``flips`` are questions that only a twin completes. Contexts and gold meet by their class of twins, so a
+    class of any size costs a row for each of its units and never pairs.
+    """
+    gold = qrels.select("qid", "unit_id").distinct()
+    wanted = gold.select("unit_id").union(filled.select("unit_id")).distinct()
+    sizes = units.groupBy("title", "opening").agg(F.count("*").alias("n")).where("n > 1 AND title IS NOT NULL AND opening IS NOT NULL")
+    classes = units.join(small(wanted), "unit_id", "left_semi").join(sizes, ["title", "opening"]).select("unit_id", F.sha2(F.to_json(F.struct("title", "opening")), 256).alias("twins"))
+    classes = stored(classes, "twins")
+    marked = stored(gold.join(classes, "unit_id", "left"), "gold-twins")
+    held = filled.select("system", "qid", "unit_id", F.lit(1).alias("held")).distinct()
+    shown = filled.join(classes, "unit_id").select("system", "qid", "twins", F.lit(1).alias("shown")).distinct()
+    cells = systems.select("system").distinct().crossJoin(marked)
+    met = cells.join(held, ["system", "qid", "unit_id"], "left").join(shown, ["system", "qid", "twins"], "left").fillna(0, ["held", "shown"])
+    paired_up, twin = F.col("twins").isNotNull(), (F.col("held") == 0) & (F.col("shown") == 1)
+    count = lambda c: F.sum(c.cast("long"))
+    per = met.groupBy("system", "qid").agg(
+        count(paired_up).alias("with_twin"), count(paired_up & (F.col("held") == 1)).alias("in_context"), count(twin).alias("instead"), F.min("held").alias("strict"), F.min(F.greatest("held", "shown")).alias("lenient")
+    )
+    return per.groupBy("system").agg(
+        count(F.col("with_twin") > 0).alias("affected"), F.sum("in_context").alias("gold_in_context"), F.sum("instead").alias("twin_instead"),
+        F.sum(F.col("with_twin") - F.col("in_context") - F.col("instead")).alias("neither"), count(F.col("strict") == 1).alias("supported"), count(F.col("lenient") == 1).alias("supported_with_twins"), count(F.col("strict") != F.col("lenient")).alias("flips"),
+    )

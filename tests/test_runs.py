@@ -184,3 +184,39 @@ def test_query_arms(spark):
             concepts.query_arm(asked, atoms, arm, alpha)
     with pytest.raises(ValueError):
         concepts.query_arm(asked, atoms[:8], "projection_top16")
+
+
+def test_a_twin_in_the_context_counts_only_where_it_may(spark):
+    units = spark.createDataFrame([(1, "t", "o"), (2, "t", "o"), (3, "t", "other"), (4, None, "o"), (5, None, "o"), (6, "u", "o"), (7, "u", "o")], "unit_id long, title string, opening string")
+    gold = spark.createDataFrame([(10, 1), (10, 3), (11, 4), (12, 6), (12, 7), (12, 6)], "qid long, unit_id long")
+    filled = spark.createDataFrame([("a", 10, 2), ("a", 10, 3), ("a", 11, 5), ("a", 12, 6), ("b", 10, 1), ("b", 10, 3)], "system string, qid long, unit_id long")
+    systems = spark.createDataFrame([("a",), ("b",), ("c",)], "system string")
+    got = runs.twin_gold(filled, systems, gold, units)
+    names = ("system", "affected", "gold_in_context", "twin_instead", "neither", "supported", "supported_with_twins", "flips")
+    assert rows(got, *names) == [("a", 2, 1, 2, 0, 0, 2, 2), ("b", 2, 1, 0, 2, 1, 1, 0), ("c", 2, 0, 0, 3, 0, 0, 0)]
+
+
+def test_sweep_holds_every_cell(spark):
+    rng = np.random.default_rng(9)
+    values = np.abs(rng.normal(size=(40, 6)))
+    units = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(values)], "unit_id long, v array<double>")
+    spaces = {}
+    for size in (16, 20):
+        atoms = np.abs(rng.normal(size=(size, 6)))
+        spaces[size] = atoms / np.linalg.norm(atoms, axis=1, keepdims=True)
+    asked = units.where("unit_id % 20 = 0").select(F.col("unit_id").alias("qid"), "v")
+    got = {}
+    for r in concepts.sweep(units, asked, spaces, 0.1, k=5).collect():
+        got.setdefault((r["size"], r["arm"], r["view"], r["qid"]), []).append((r["rank"], r["unit_id"], r["score"]))
+    assert len(got) == 2 * 3 * 2 * 2
+    for (size, arm, view, q), hits in got.items():
+        codes = concepts.encode(values, spaces[size], 0.1)
+        shown = codes / np.maximum(np.abs(codes).sum(axis=1, keepdims=True), 1e-12) if view == "rows" else codes
+        own = concepts.encode(values[q : q + 1], spaces[size], 0.1)[0] if arm == "sparse_coding" else np.maximum(spaces[size] @ values[q], 0)
+        if arm == "projection_top16":
+            own = np.where(np.isin(np.arange(size), np.argsort(-own, kind="stable")[:16]), own, 0)
+        scores = shown @ own if view == "codes" else None
+        if scores is not None:
+            want = np.sort(scores)[::-1][:5]
+            assert np.allclose([s for _, _, s in sorted(hits)], want, atol=2e-6)
+        assert [r for r, _, _ in sorted(hits)] == [1, 2, 3, 4, 5]

@@ -201,6 +201,17 @@ def test_op4_columns_equal_sql_and_odd_rows(spark):
     assert got == want
 
 
+def test_op4_query_verdicts_are_the_contracts(spark, tmp_path):
+    from hoplattice.llm import queries
+
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = {1: ("http://a.com/en/x", "com/en/"), 2: ("http://example.com/en/71", "example.com/en/7"), 3: ("http://b.net/de/1", "net/de/"), 4: ("https://w.Example.NET/de/7?q", "net/de/"), 5: ("http://example.net/de/8", "example.net/de/8"), 6: ("http://c.org/es/#f", "org/es/"), 7: ("http://c.org/en/", None)}
+    spark.createDataFrame([(k, u) for k, (u, _) in urls.items()], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = by_id(queries.op4_url_filter(spark, str(tmp_path)), "page_id")
+    assert {k: r["rule"] for k, r in got.items()} == {k: rule for k, (_, rule) in urls.items()}
+    assert {r["rule"]: r["verdict"] for r in got.values() if r["rule"]} == contract and got[7]["verdict"] in ("allow", "block")
+
+
 def test_op4_trees_judge_unknown_suffixes_by_their_other_features(spark):
     rng = np.random.default_rng(23)
     plain = lambda: "".join(rng.choice(list("abdeimnorst"), 8))

@@ -4,12 +4,14 @@ Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 12 characters or more with a digi
 The network sees a candidate with 24 characters on either side (a long candidate
 in several windows, of which the highest counts): character embeddings, one
 convolution, the maximum over places, one output. It is trained on labelled
-findings: candidates that a rule finds are positive, all others negative. All
-documents are searched, and of either label the first ``sample_windows`` distinct
-windows in hash order are taken, so rare findings are not missed.
+findings: candidates that a rule finds are positive, all others negative. Every
+distinct window of all documents counts once, whatever their number: those learned
+from are dealt by hash to shards of about ``shard_windows``, and each round trains
+one copy of the network a shard and averages the copies. A label with few windows a
+shard has each in several shards, weighing as much less, so no copy misses rare findings.
 Half of the positives are shown without their context too, so that the key's own
-look counts. Scores are calibrated on the windows of a fifth of the documents (Platt;
-where that leaves a part without positives they are divided one by one, and a lone
+look counts. Scores are calibrated on all windows of a fifth of the documents (Platt;
+where that leaves a part without positives they are divided by hash, and a lone
 one serves both parts), and the threshold is the highest that keeps ``recall`` of the
 calibration's positives. Candidates at or
 above it which no rule covers are added as kind ``cnn``; rule matches always stay.
@@ -22,11 +24,9 @@ kinds may overlap; ids may be null and repeat; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import pickle
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -37,11 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoplattice.llm.common import bounded_batches, map_arrow, stored
+from hoplattice.llm.lm import averaged
 
 KINDS = ("assign", "access", "hex", "cnn")
-#: Windows of either label that are learned from, at most.
-SAMPLE_WINDOWS = 8_192
+#: Windows that one task trains on at a time, about; there are as many shards as all windows need.
+SHARD_WINDOWS = 16_384
+#: Windows of either label that every shard has at least, if there are as many.
+SHARD_LEAST = 64
 RECALL = 0.95
+EPOCHS = 8
+SEED = 3
 # The rules' patterns.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -152,107 +157,241 @@ def _parts(label: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarra
     return np.sort(np.concatenate(fitted)), np.sort(np.concatenate(calibration))
 
 
-def train(x: np.ndarray, label: np.ndarray, recall: float = RECALL, epochs: int = 8, filters: int = 24, width: int = 5, dim: int = 8, seed: int = 3, held: np.ndarray | None = None) -> CharCNN:
-    """Fit by Adam on four fifths of the windows, calibrate and set the threshold on the rest."""
+def _fresh(filters: int = 24, width: int = 5, dim: int = 8, seed: int = SEED) -> CharCNN:
     rng = np.random.default_rng(seed)
-    net = CharCNN(rng.normal(0, 0.3, (128, dim)), rng.normal(0, 0.2, (width, dim, filters)), np.zeros(filters), rng.normal(0, 0.2, filters), 0.0)
+    return CharCNN(rng.normal(0, 0.3, (128, dim)), rng.normal(0, 0.2, (width, dim, filters)), np.zeros(filters), rng.normal(0, 0.2, filters), 0.0)
+
+
+class _Adam:
+    """Descent of a network; ``flat`` is all that another task needs to go on from here."""
+
+    def __init__(self, net: CharCNN, flat: np.ndarray | None = None) -> None:
+        self.net = net
+        self._values = [net.embedding, net.kernel, net.offset, net.output, np.array([net.bias])]
+        self._first, self._second = [np.zeros_like(v) for v in self._values], [np.zeros_like(v) for v in self._values]
+        self._step = 0.0
+        if flat is not None:
+            at = 0
+            for part in (*self._values, *self._first, *self._second):
+                part[...] = flat[at : at + part.size].reshape(part.shape)
+                at += part.size
+            self._step = float(flat[at])
+            net.bias = float(self._values[4][0])
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([*(part.ravel() for part in (*self._values, *self._first, *self._second)), [self._step]])
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
+            grads = self.net.gradients(x[part], y[part], weight[part])
+            self._step += 1
+            for value, first, second, grad in zip(self._values, self._first, self._second, grads, strict=True):
+                first *= 0.9
+                first += 0.1 * grad
+                second *= 0.999
+                second += 0.001 * grad**2
+                value -= 0.005 * first / (1 - 0.9**self._step) / (np.sqrt(second / (1 - 0.999**self._step)) + 1e-8)
+            self.net.bias = float(self._values[4][0])
+
+
+def _positive_weight(negatives: int, positives: int) -> float:
+    """Of a positive beside a negative; half of the positives are shown twice."""
+    return max(1.0, negatives / max(1, positives + (positives + 1) // 2)) ** 0.5
+
+
+def _shown(x: np.ndarray, y: np.ndarray, positive: float, negative: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and weights, every other positive once more without its context."""
+    masked = x[y > 0][::2].copy()
+    masked[:, :_SIDE] = 0
+    masked[:, _SIDE + _CORE :] = 0
+    x, y = np.concatenate([x, masked]), np.concatenate([y, np.ones(len(masked))])
+    return x, y, np.where(y > 0, positive, negative)
+
+
+def _platt(sums: Callable[[float, float], tuple[float, ...]]) -> tuple[float, float]:
+    """Newton's steps for slope and shift, slightly held back; ``sums`` of rz, r, hzz, hz and h at given ones."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        rz, r, hzz, hz, h = sums(a, b)
+        step = np.linalg.solve(np.array([[hzz + 0.1, hz], [hz, h + 0.1]]), np.array([rz + 0.1 * (a - 1), r + 0.1 * b]))
+        a, b = float(a - step[0]), float(b - step[1])
+        if np.abs(step).max() < 1e-9:
+            break
+    return a, b
+
+
+def _calibrated(net: CharCNN, platt: tuple[float, float], lowest: float) -> CharCNN:
+    """``lowest`` is the output that the threshold lets through."""
+    net.slope, net.shift = max(platt[0], 1e-3), platt[1]
+    net.threshold = float(1 / (1 + np.exp(-np.clip(net.slope * lowest + net.shift, -40, 40))))
+    return net
+
+
+def train(x: np.ndarray, label: np.ndarray, recall: float = RECALL, epochs: int = EPOCHS, filters: int = 24, width: int = 5, dim: int = 8, seed: int = SEED, held: np.ndarray | None = None) -> CharCNN:
+    """Fit by Adam on four fifths of the windows, calibrate and set the threshold on the rest; what ``fit`` does with one shard."""
+    net = _fresh(filters, width, dim, seed)
     if not (label > 0).any():
         return net
     fitted, calibration = _parts(label, held)
-    fit_x, fit_y = x[fitted], label[fitted]
-    masked = fit_x[fit_y > 0][::2].copy()
-    masked[:, :_SIDE] = 0
-    masked[:, _SIDE + _CORE :] = 0
-    fit_x, fit_y = np.concatenate([fit_x, masked]), np.concatenate([fit_y, np.ones(len(masked))])
-    weight = np.where(fit_y > 0, max(1.0, (fit_y == 0).sum() / max(1, fit_y.sum())) ** 0.5, 1.0)
-    values = [net.embedding, net.kernel, net.offset, net.output, np.zeros(1)]
-    first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(fit_y)), max(1, len(fit_y) // 64)):
-            net.bias = float(values[4][0])
-            grads = net.gradients(fit_x[part], fit_y[part], weight[part])
-            step += 1
-            for j, grad in enumerate(grads):
-                first[j] = 0.9 * first[j] + 0.1 * grad
-                second[j] = 0.999 * second[j] + 0.001 * grad**2
-                values[j] -= 0.005 * first[j] / (1 - 0.9**step) / (np.sqrt(second[j] / (1 - 0.999**step)) + 1e-8)
-    net.bias = float(values[4][0])
+    positives = int((label[fitted] > 0).sum())
+    shown = _shown(x[fitted], label[fitted], _positive_weight(len(fitted) - positives, positives))
+    adam = _Adam(net)
+    for k in range(epochs):
+        adam.epoch(*shown, np.random.default_rng((seed, k, 0)))
     z, y = net.logits(x[calibration]), label[calibration]
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton's steps for Platt's two parameters, slightly held back
+
+    def sums(a: float, b: float) -> tuple[float, ...]:
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         r, h = p - y, np.maximum(p * (1 - p), 1e-6)
-        grad = np.array([(r * z).sum() + 0.1 * (a - 1), r.sum() + 0.1 * b])
-        hess = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum() + 0.1]])
-        a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
-    net.slope, net.shift = float(max(a, 1e-3)), float(b)
-    positive = np.sort(net.probability(x[calibration][y > 0]))
-    net.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))])
-    return net
+        return (r * z).sum(), r.sum(), (h * z * z).sum(), (h * z).sum(), h.sum()
+
+    positive = np.sort(z[y > 0])
+    return _calibrated(net, _platt(sums), float(positive[int(np.floor((1 - recall) * len(positive)))]))
 
 
 def _rank(window: bytes) -> int:
     return xxhash.xxh64_intdigest(window) >> 1
 
 
-def _first_windows(rows: Iterator[tuple[bytes, int, int]], limit: int) -> dict[bytes, tuple[int, int]]:
-    """``limit`` distinct windows at most of either label, the first by hash, with label and part.
+def _arrays(windows: bytes) -> np.ndarray:
+    return np.frombuffer(windows, np.uint8).reshape(-1, _WIDTH).astype(np.int64)
+
+
+def labelled_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(rank, window, label, held)``: every distinct window of all documents, once.
 
     A window found with both labels counts as positive; one of several documents is
     held out only if all of them are.
     """
-    kept: tuple[dict, dict] = {}, {}
-    order: tuple[list, list] = [], []
-    for window, label, held in rows:
-        if window in kept[label]:
-            kept[label][window] = label, min(held, kept[label][window][1])
-            continue
-        rank = -_rank(window)
-        if len(order[label]) < limit:
-            heapq.heappush(order[label], (rank, window))
-        elif (rank, window) > order[label][0]:
-            del kept[label][heapq.heappushpop(order[label], (rank, window))[1]]
-        else:
-            continue
-        kept[label][window] = label, held
-    return kept[0] | kept[1]
-
-
-def fit(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> CharCNN:
-    """Train on ``sample_windows`` windows at most of either label, out of those of all documents; one task trains."""
     held = (F.pmod(F.xxhash64(id_column), F.lit(5)) == 4).cast("int")
-    texts = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), held.alias("held"))
+    texts = docs.where(F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), held.alias("held"))
 
     def labelled(batches: Iterator[pa.RecordBatch]):
-        def found():
+        for batch in batches:
+            seen, labels, parts = [], [], []
+            for text, held in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                spans = candidates(text)
+                known = _Covered(rule_spans(text)) if spans else None
+                for span in spans:
+                    cut = windows(text, *span)
+                    seen += cut
+                    labels += [int(known(*span))] * len(cut)
+                    parts += [held] * len(cut)
+                    if len(seen) >= _SPANS:
+                        yield {"rank": [_rank(w) for w in seen], "window": seen, "label": labels, "held": parts}
+                        seen, labels, parts = [], [], []
+            if seen:
+                yield {"rank": [_rank(w) for w in seen], "window": seen, "label": labels, "held": parts}
+
+    found = map_arrow(texts, "rank long, window binary, label int, held int", labelled)
+    return found.groupBy("rank", "window").agg(F.max("label").alias("label"), F.min("held").alias("held"))
+
+
+def parted(found: DataFrame) -> DataFrame:
+    """Adds ``fitted`` and ``calibrating``: by document, but positives by hash where a part would have none; a lone window of a label serves both."""
+    totals = found.groupBy("label").agg(F.count("*").alias("n"), F.sum("held").alias("held"), F.min("rank").alias("low"), F.max("rank").alias("high"))
+    of = {r["label"]: r for r in totals.collect()}
+    apart, both = F.col("held") == 1, F.lit(False)
+    for label, r in of.items():
+        own = F.col("label") == label
+        if r["n"] == 1:
+            both = both | own
+        if label == 1 and r["held"] in (0, r["n"]):
+            by_hash = (F.col("rank") != r["low"]) & ((F.pmod("rank", F.lit(5)) == 4) | (F.col("rank") == r["high"]))
+            apart = F.when(own, by_hash | F.lit(r["n"] == 1)).otherwise(apart)
+    return found.withColumns({"fitted": ~apart | both, "calibrating": apart})
+
+
+def shards(fitted: DataFrame, shard_windows: int = SHARD_WINDOWS) -> tuple[DataFrame, int, tuple[float, float]]:
+    """``(replica, labels, windows)``, a row a shard, their number, and the weights of positives and negatives."""
+    n = {r["label"]: r["count"] for r in fitted.groupBy("label").count().collect()}
+    number = max(1, -(-sum(n.values()) // shard_windows))
+    copies = {label: min(number, -(-SHARD_LEAST * number // n[label])) if label in n else 1 for label in (0, 1)}
+    turn = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == 1, copies[1]).otherwise(copies[0]) - 1))
+    dealt = fitted.select("rank", "window", "label", turn.alias("turn"))
+    dealt = dealt.withColumn("replica", F.pmod(F.col("rank") % number + F.col("turn"), F.lit(number)).cast("int"))
+    dealt = dealt.repartition(number, "replica").sortWithinPartitions("replica", "rank", "window").select("replica", "label", "window")
+
+    def joined(batches: Iterator[pa.RecordBatch]):
+        replica, labels, seen = None, [], []
+        for batch in batches:
+            for own, label, window in zip(*(batch.column(c).to_pylist() for c in ("replica", "label", "window")), strict=True):
+                if own != replica and seen:
+                    yield {"replica": [replica], "labels": [bytes(labels)], "windows": [b"".join(seen)]}
+                    labels, seen = [], []
+                replica = own
+                labels.append(label)
+                seen.append(window)
+        if seen:
+            yield {"replica": [replica], "labels": [bytes(labels)], "windows": [b"".join(seen)]}
+
+    weights = _positive_weight(n.get(0, 0), n.get(1, 0)) / copies[1], 1 / copies[0]
+    return stored(map_arrow(dealt, "replica int, labels binary, windows binary", joined), "secret-shards"), number, weights
+
+
+def _descended(parts: DataFrame, number: int, weights: tuple[float, float], epochs: int = EPOCHS) -> CharCNN:
+    """Average of the shards' networks, an epoch a round; what the driver gets a round is one network."""
+    adam = _Adam(_fresh())
+    for k in range(epochs):
+        shared = parts.sparkSession.sparkContext.broadcast(adam.flat())
+
+        def trained(batches: Iterator[pa.RecordBatch], shared=shared, k=k):
             for batch in batches:
-                for text, held in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                    if spans := candidates(text):
-                        known = _Covered(rule_spans(text))
-                        for span in spans:
-                            label = int(known(*span))
-                            for w in windows(text, *span):
-                                yield w, label, held
-
-        first = _first_windows(found(), sample_windows)
-        yield {"rank": [_rank(w) for w in first], "label": [v[0] for v in first.values()], "held": [v[1] for v in first.values()], "window": list(first.keys())}
-
-    found = stored(map_arrow(texts, "rank long, label int, held int, window binary", labelled), "secret-windows")
-    found = found.groupBy("rank", "window").agg(F.max("label").alias("label"), F.min("held").alias("held"))
-    positive, negative = (found.where(F.col("label") == k).orderBy("rank", "window").limit(sample_windows) for k in (1, 0))
-    gathered = positive.union(negative).repartition(1).sortWithinPartitions("rank", "window")
-
-    def trained(batches: Iterator[pa.RecordBatch]):
-        seen, label, held = [], [], []
+                for replica, labels, seen in zip(*(batch.column(c).to_pylist() for c in ("replica", "labels", "windows")), strict=True):
+                    own = _Adam(_fresh(), shared.value)
+                    shown = _shown(_arrays(seen), np.frombuffer(labels, np.uint8).astype(float), *weights)
+                    own.epoch(*shown, np.random.default_rng((SEED, k, replica)))
+                    yield {"replica": [replica], "tokens": [len(labels)], "flat": [own.flat().astype("<f4").tobytes()]}
+
+        mean = averaged(map_arrow(parts, "replica int, tokens long, flat binary", trained), number).collect()[0]
+        adam = _Adam(_fresh(), np.frombuffer(mean["flat"], "<f4").astype(float))
+    return adam.net
+
+
+def _at_place(values: DataFrame, place: int) -> float:
+    """The ``z`` at ``place`` in ascending order, by counts in ever narrower bins."""
+    low, high = values.agg(F.min("z"), F.max("z")).first()
+    while low < high:
+        of_bin = values.groupBy(F.width_bucket("z", F.lit(low), F.lit(high), F.lit(1_024)).alias("bin"))
+        for r in of_bin.agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).orderBy("bin").collect():
+            low, high = r["low"], r["high"]
+            if place < r["n"]:
+                break
+            place -= r["n"]
+        values = values.where(F.col("z").between(low, high))
+    return low
+
+
+def _calibration(calibrating: DataFrame, net: CharCNN, recall: float) -> CharCNN:
+    """Slope, shift and threshold from all windows of the calibration; sums and counts alone reach the driver."""
+    shared = calibrating.sparkSession.sparkContext.broadcast(net)
+
+    def outputs(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            seen += batch.column("window").to_pylist()
-            label += batch.column("label").to_pylist()
-            held += batch.column("held").to_pylist()
-        x = np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), _WIDTH).astype(np.int64)
-        yield {"model": [pickle.dumps(train(x, np.array(label, float), recall, held=np.array(held) > 0))]}
-
-    model = map_arrow(gathered, "model binary", trained).first()
-    return pickle.loads(model[0]) if model else train(np.zeros((0, _WIDTH), np.int64), np.zeros(0))
+            yield {"label": batch.column("label"), "z": shared.value.logits(_arrays(b"".join(batch.column("window").to_pylist())))}
+
+    z = stored(map_arrow(calibrating.select("label", "window"), "label int, z double", outputs), "secret-outputs")
+
+    def sums(a: float, b: float) -> tuple[float, ...]:
+        at = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("z") * a + b))
+        with_p = z.withColumn("p", 1 / (1 + F.exp(-at)))
+        r, h = F.col("p") - F.col("label"), F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-6))
+        return tuple(with_p.agg(*(F.sum(c).alias(f"s{k}") for k, c in enumerate((r * F.col("z"), r, h * F.col("z") * F.col("z"), h * F.col("z"), h)))).first())
+
+    positive = z.where("label = 1")
+    return _calibrated(net, _platt(sums), _at_place(positive, int(np.floor((1 - recall) * positive.count()))))
+
+
+def fit(docs: DataFrame, shard_windows: int = SHARD_WINDOWS, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text", sample_windows: int | None = None) -> CharCNN:
+    """Train, calibrate and set the threshold on every distinct window of all documents.
+
+    ``sample_windows`` is the older name of ``shard_windows``.
+    """
+    found = parted(stored(labelled_windows(docs, id_column, text_column), "secret-windows"))
+    if found.where("label = 1").isEmpty():
+        return _fresh()
+    net = _descended(*shards(found.where("fitted"), sample_windows or shard_windows))
+    return _calibration(found.where("calibrating"), net, recall)
 
 
 def _best_scores(texts: list[str], spans: list[tuple[int, tuple[int, int]]], net: CharCNN) -> Iterator[float]:

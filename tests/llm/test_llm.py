@@ -640,6 +640,51 @@ def test_op10_rare_findings_are_learned_from(spark):
         assert all((p >= 60).any() for p in parts)
 
 
+def test_op10_learns_from_every_window(spark):
+    """With shards far smaller than the table, threshold and calibration are those of all windows, by brute force."""
+    rng = np.random.default_rng(31)
+    core = lambda: "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 23)))
+    rows = [(k, f"{prose(4, rng)} {'token = ' if k % 4 == 0 else 'ref '}{core()} {prose(4, rng)}") for k in range(1200)]
+    rows += [(None, f"ref {core()} end"), (4, rows[4][1]), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {}
+    for text, held in docs.selectExpr("text", "pmod(xxhash64(doc_id), 5) = 4").collect():
+        for span in secrets.candidates(text or ""):
+            label = any(a < span[1] and span[0] < b for a, _, b in secrets.rule_spans(text))
+            for w in secrets.windows(text, *span):
+                before = want.get(w, (False, True))
+                want[w] = before[0] or label, before[1] and held
+    net = secrets.fit(docs, sample_windows=60)
+    cut = [(w, label) for w, (label, held) in want.items() if held]
+    x, y = np.frombuffer(b"".join(w for w, _ in cut), np.uint8).reshape(len(cut), -1).astype(np.int64), np.array([label for _, label in cut], float)
+    z, p = net.logits(x), net.probability(x)
+    assert net.threshold == pytest.approx(np.sort(p[y > 0])[int((1 - secrets.RECALL) * y.sum())], abs=1e-9)
+    assert net.slope > 0.1 and abs((p - y).sum() + 0.1 * net.shift) < 1e-6 and abs(((p - y) * z).sum() + 0.1 * (net.slope - 1)) < 1e-6
+    assert (p[y == 0] >= net.threshold).mean() < 0.05
+    found = secrets.parted(secrets.labelled_windows(docs))
+    got = found.collect()
+    assert len(got) == len(want) and all(want[bytes(r["window"])] == (r["label"] == 1, r["calibrating"]) and r["fitted"] != r["calibrating"] for r in got)
+    parts, number, weights = secrets.shards(found.where("fitted"), 60)
+    parts = parts.collect()
+    fitted = [w for w, (_, held) in want.items() if not held]
+    assert number == len(parts) == -(-len(fitted) // 60) and all(1 in r["labels"] for r in parts)
+    dealt = Counter(w for r in parts for w in (bytes(r["windows"][k : k + secrets._WIDTH]) for k in range(0, len(r["windows"]), secrets._WIDTH)))
+    copies = [{dealt[w] for w in fitted if want[w][0] == label} for label in (True, False)]
+    assert set(dealt) == set(fitted) and all(len(c) == 1 for c in copies) and min(copies[0]) > 1
+    assert weights[1] == pytest.approx(1 / min(copies[1])) and weights[0] * min(copies[0]) >= 1
+    other = secrets.fit(docs.repartition(1), sample_windows=60)
+    np.testing.assert_allclose(other.probability(x), p, atol=1e-3)
+
+
+def test_op10_positives_of_one_document_serve_both_parts(spark):
+    for found in (1, 2, 400):
+        rows = [(k, f"order-{k:012d}x") for k in range(50)] + [(99, " ".join(f"token=abcdef{k:06d}" for k in range(found)))]
+        parted = secrets.parted(secrets.labelled_windows(spark.createDataFrame(rows, "doc_id long, text string"))).where("label = 1").collect()
+        assert len(parted) == found and any(r["fitted"] for r in parted) and any(r["calibrating"] for r in parted)
+        assert all(r["fitted"] or r["calibrating"] for r in parted) and (found == 1 or not any(r["fitted"] and r["calibrating"] for r in parted))
+        assert found < 400 or 0.1 < sum(r["calibrating"] for r in parted) / found < 0.3
+
+
 def test_pipeline_stages_follow_their_contract(spark):
     import corpus_pipeline
 

@@ -42,8 +42,8 @@ from hoplattice.llm.lm import averaged
 KINDS = ("assign", "access", "hex", "cnn")
 #: Windows that one task trains on at a time, about; there are as many shards as all windows need.
 SHARD_WINDOWS = 16_384
-#: Windows of either label that every shard has at least, if there are as many.
-SHARD_LEAST = 64
+#: Windows of either label that every shard has at least, if there are as many; or this share of a shard, if that is more.
+SHARD_LEAST, SHARD_SHARE = 64, 0.25
 RECALL = 0.95
 EPOCHS = 8
 SEED = 3
@@ -306,7 +306,8 @@ def shards(fitted: DataFrame, shard_windows: int = SHARD_WINDOWS) -> tuple[DataF
     """``(replica, labels, windows)``, a row a shard, their number, and the weights of positives and negatives."""
     n = {r["label"]: r["count"] for r in fitted.groupBy("label").count().collect()}
     number = max(1, -(-sum(n.values()) // shard_windows))
-    copies = {label: min(number, -(-SHARD_LEAST * number // n[label])) if label in n else 1 for label in (0, 1)}
+    least = max(SHARD_LEAST, int(SHARD_SHARE * shard_windows))
+    copies = {label: min(number, -(-least * number // n[label])) if label in n else 1 for label in (0, 1)}
     turn = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == 1, copies[1]).otherwise(copies[0]) - 1))
     dealt = fitted.select("rank", "window", "label", turn.alias("turn"))
     dealt = dealt.withColumn("replica", F.pmod(F.col("rank") % number + F.col("turn"), F.lit(number)).cast("int"))

@@ -103,7 +103,7 @@ def _first_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def _cache(spark: SparkSession) -> ContentCache:
     """A cache of its own for each run, so that a run's counts do not depend on earlier ones."""
-    return ContentCache(spark, f"{shared_folder(spark)}/text-cache-{uuid.uuid4().hex}", "hashed words, 64", "v array<double>")
+    return ContentCache(spark, f"{shared_folder(spark)}/text-cache-{uuid.uuid4().hex}", "hashed words, 64", "v array<double>, touched array<int>")
 
 
 def _keyed(df: DataFrame, text: Column) -> DataFrame:
@@ -114,9 +114,9 @@ def _similar(spark: SparkSession, sf_dir: str, wanted: DataFrame, cache: Content
     """``(qid, content_id, sim)``: cosines of texts ``(qid, content_id, text)`` with their question; vectors are computed once for each text."""
     questions = _keyed(inputs.questions(spark, sf_dir), F.col("query")).select("qid", "content_id", "text")
     cache.fill(wanted.select("content_id", "text").union(questions.select("content_id", "text")), vector.hashed_vectors)
-    of_questions = cache.lookup(questions.select("qid", "content_id")).select("qid", "v")
-    units = cache.lookup(wanted.select("content_id").distinct()).select(F.col("content_id").alias("unit_id"), "v")
-    return vector.sampled_dots(wanted.select("qid", F.col("content_id").alias("unit_id")).distinct(), of_questions, units).withColumnRenamed("unit_id", "content_id")
+    of_questions = cache.lookup(questions.select("qid", "content_id")).select("qid", "v", "touched")
+    units = cache.lookup(wanted.select("content_id").distinct()).select(F.col("content_id").alias("unit_id"), "v", "touched")
+    return vector.hashed_cosines(wanted.select("qid", F.col("content_id").alias("unit_id")).distinct(), of_questions, units).withColumnRenamed("unit_id", "content_id")
 
 
 def _said(found: DataFrame) -> DataFrame:

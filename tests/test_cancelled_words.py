@@ -28,7 +28,7 @@ def test_cosines_of_cancelled_words_are_undefined(spark):
     assert math.isnan(got["q"]) and math.isnan(got["void"]) and got["none"] == 0
 
 
-@pytest.mark.parametrize("name", ["h14_document_sentence_hop"])
+@pytest.mark.parametrize("name", ["h14_document_sentence_hop", "h15_document_window_hop"])
 def test_hops_over_cancelled_texts_equal_their_sql(spark, tmp_path, name):
     for table, rows, schema in (("documents", DOCUMENTS, "doc_id long, text string"), ("benchmark", [(1, QUESTION)], "item_id long, text string")):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
